@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .op10_suffix_dedup import op10_suffix_repeats
 from .op8_simhash import op8_simhash_pivots
 
 QUERIES = {
     "op8_simhash_pivots": op8_simhash_pivots,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
