@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from . import op1_quality_rules
 from .op10_suffix_dedup import op10_suffix_repeats
 from .op8_simhash import op8_simhash_pivots
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules.op1_quality_rules,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": op1_quality_rules.ORACLE_SQL,
+}
