@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .store import materialize, table, words
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance that this is exceeded anywhere.
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.1, 0.05
+#: Among the cutoffs that pass, a rejected good document costs as much as this many rejected bad ones bring.
+PRICE = 10
 #: Words of a window whose repeats count.
 WINDOW = 8
 #: rule: (numerator, denominator, candidate cutoffs from loosest to strictest); a document is rejected above the cutoff, per mille.
@@ -18,10 +20,11 @@ RULES = {
     "symbols": ("n_symbols", "word_chars", [600, 500, 400, 300, 200, 150, 100, 70, 50, 30, 20, 10]),
     "dup_lines": ("n_dup_lines", "n_text_lines", [900, 800, 700, 600, 500, 400, 300, 200, 150, 100]),
     "repeats": ("n_repeat_words", "n_words", [300, 250, 200, 150, 100, 80, 60, 40, 20]),
+    "stutter": ("n_stutter", "n_words", [600, 500, 400, 300, 200, 150, 100, 70, 50]),
     "upper": ("n_upper", "word_chars", [900, 800, 700, 600, 500, 400, 300, 200, 150, 100]),
     "word_length": ("word_chars", "n_words", [50000, 30000, 20000, 15000, 12000, 10000, 9000, 8000]),
 }
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines", "n_upper"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines", "n_upper", "n_stutter"]
 
 
 def _covered(hits: Column) -> Column:
@@ -45,7 +48,8 @@ def with_stats(docs: DataFrame) -> DataFrame:
     step = step.withColumns({"_grams": grams, "_n_lines": F.size("_lines").cast("long"), "_n_other": F.size(F.array_distinct("_lines")).cast("long")}).drop("_lines")
     again = F.size(F.array_distinct("_grams")) < F.size("_grams")
     pairs = F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("_n_words", F.size("_words").cast("long")).drop("_words").withColumn("_pairs", F.when(again, pairs)).drop("_grams")
+    stutter = F.size(F.filter("_words", lambda w, i: F.coalesce(F.get("_words", i - 1) == w, F.lit(False)))).cast("long")
+    step = step.withColumns({"_n_words": F.size("_words").cast("long"), "_n_stutter": stutter}).drop("_words").withColumn("_pairs", F.when(again, pairs)).drop("_grams")
     same = lambda x, k: F.coalesce(F.get("_pairs", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_pairs", k + 1)["h"] == x["h"], F.lit(False))
     hits = F.sort_array(F.transform(F.filter("_pairs", same), lambda x: x["i"]))
     step = step.withColumn("_hits", hits).drop("_pairs")
@@ -57,8 +61,9 @@ def with_stats(docs: DataFrame) -> DataFrame:
         F.coalesce(_covered(F.col("_hits")), F.lit(0).cast("long")).alias("n_repeat_words"),
         F.col("_n_lines").alias("n_text_lines"),
         F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+        F.col("_n_stutter").alias("n_stutter"),
     )
-    return step.withColumn("_stats", stats).drop("_n_words", "_n_lines", "_n_other", "_hits")
+    return step.withColumn("_stats", stats).drop("_n_words", "_n_stutter", "_n_lines", "_n_other", "_hits")
 
 
 def _per_mille(rule: str) -> Column:
@@ -95,27 +100,30 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum: stratum and a nullable cutoff per rule.
 
-    ``rated`` has doc_id, stratum and _stats. The holdout is every labelled document of
-    quality 1 (of repeated labels the best counts). A candidate cutoff passes if an exact
+    ``rated`` has doc_id, stratum and _stats. The holdout is every labelled document (of
+    repeated labels the best counts; quality 1 is good). A candidate cutoff passes if an exact
     binomial test rejects "the rule loses more than alpha / rules of the stratum's good
     documents" at level delta / (strata * rules), Bonferroni over strata and rules. Within a
     rule the candidates are tested in fixed order, loosest first, and the first failure ends
-    it, which needs no further correction. No candidate passes: the rule is off there.
+    it, which needs no further correction. All that pass hold at once, so any may be taken:
+    the one that gains most, bad documents less PRICE times the good ones, the loosest of
+    equals. Without a passing candidate that gains, the rule is off in that stratum.
     """
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q")).where("_q = 1")
-    held = rated.join(good, rated.doc_id == good._id, "left_semi")
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q")).where("_q is not null")
+    held = rated.join(good, rated.doc_id == good._id)
+    is_good = F.col("_q") == 1
     counts = [
-        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.sum((_per_mille(r) > c).cast("long")).alias("lost"))
+        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.count(F.when(is_good & (_per_mille(r) > c), 1)).alias("lost"), F.count(F.when(~is_good & (_per_mille(r) > c), 1)).alias("caught"))
         for r, (_, _, grid) in RULES.items()
         for c in grid
     ]
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*counts).alias("tests"))
+    counted = held.groupBy("stratum").agg(F.count(F.when(is_good, 1)).alias("n"), F.array(*counts).alias("tests"))
     n_strata = F.count("*").over(Window.partitionBy(F.lit(0)))
     tests = counted.withColumn("n_strata", n_strata).select("stratum", "n", "n_strata", F.explode("tests").alias("t")).select("stratum", "n", "n_strata", "t.*")
     ok = binomial_cdf(F.col("lost"), F.col("n"), alpha / len(RULES)) <= F.lit(delta) / (F.col("n_strata") * len(RULES))
     order = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    passed = tests.withColumn("ok", F.min(ok.cast("int")).over(order)).where("ok = 1")
-    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    passed = tests.withColumn("ok", F.min(ok.cast("int")).over(order)).withColumn("gain", F.expr(f"caught - {PRICE} * lost")).where("ok = 1 and gain > 0")
+    return passed.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.struct("gain", "cutoff")))["cutoff"].alias(f"cut_{r}") for r in RULES])
 
 
 def _judged(rated: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -144,7 +152,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     """The rows of ``docs`` that the rules keep, with their columns. Cutoffs come from the
     labelled rows alone; each row is then judged where it is, without a shuffle of texts."""
     held = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), F.col("text").cast("string").alias("text"))
-    named = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    named = labels.select(F.col("doc_id").alias("_id")).distinct()
     held = held.join(named, held.doc_id == named._id, "left_semi")
     cuts = materialize(cutoffs(with_stats(held).drop("text"), labels, alpha, delta), "op1-cutoffs")
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col("lang").cast("string").alias("stratum"))
@@ -158,7 +166,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     tests = " UNION ALL ".join(
-        f"SELECT stratum, count(*) AS n, '{r}' AS rule, {c} AS cutoff, coalesce(sum(CASE WHEN coalesce((1000 * {a}) // nullif({b}, 0), 0) > {c} THEN 1 ELSE 0 END), 0) AS lost FROM held GROUP BY stratum"
+        f"SELECT stratum, count(*) FILTER (good) AS n, '{r}' AS rule, {c} AS cutoff, count(*) FILTER (good AND coalesce((1000 * {a}) // nullif({b}, 0), 0) > {c}) AS lost, count(*) FILTER (NOT good AND coalesce((1000 * {a}) // nullif({b}, 0), 0) > {c}) AS caught FROM held GROUP BY stratum"
         for r, (a, b, grid) in RULES.items()
         for c in grid
     )
@@ -179,17 +187,19 @@ s AS (SELECT w.row_id, doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '{space}', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-  CAST(len(ls) AS BIGINT) AS n_text_lines, CAST(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_upper
+  CAST(len(ls) AS BIGINT) AS n_text_lines, CAST(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_upper,
+  CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_stutter
   FROM w LEFT JOIN r ON w.row_id = r.row_id),
-held AS (SELECT * FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+held AS (SELECT s.*, q = 1 AS good FROM s JOIN (SELECT doc_id AS id, max(quality) AS q FROM labels GROUP BY doc_id) ON doc_id = id WHERE q IS NOT NULL),
 tests AS ({tests}),
-p AS (SELECT tests.*, CASE WHEN lost >= n * {p!r} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln({1 - p!r})))
+p AS (SELECT tests.*, CASE WHEN n = 0 OR lost >= n * {p!r} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln({1 - p!r})))
   FROM (SELECT unnest(range(CAST(0 AS BIGINT), CAST(lost + 1 AS BIGINT))) AS j)) END AS tail FROM tests),
 o AS (SELECT *, min(CASE WHEN tail <= {DELTA!r} / ({len(RULES)} * (SELECT count(DISTINCT coalesce(stratum, '')) FROM held)) THEN 1 ELSE 0 END)
   OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS ok FROM p),
-cuts AS (SELECT stratum, {cuts} FROM o WHERE ok = 1 GROUP BY stratum),
+best AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - {PRICE} * lost DESC, cutoff DESC) AS place FROM o WHERE ok = 1 AND caught > {PRICE} * lost),
+cuts AS (SELECT stratum, {cuts} FROM best WHERE place = 1 GROUP BY stratum),
 b AS (SELECT s.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_text_lines, n_upper, base_failed, NOT (base_failed OR {lost}) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_text_lines, n_upper, n_stutter, base_failed, NOT (base_failed OR {lost}) AS kept
 FROM b LEFT JOIN cuts ON b.stratum IS NOT DISTINCT FROM cuts.stratum"""
 
 
