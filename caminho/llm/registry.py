@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules
+from . import op1_quality_rules, op5_mixing
+from .op6_packing import op6_packing
 from .op10_suffix_dedup import op10_suffix_repeats
 from .op8_simhash import op8_simhash_pivots
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.op1_quality_rules,
+    "op5_source_mixing": op5_mixing.op5_source_mixing,
+    "op6_packing": op6_packing,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": op1_quality_rules.ORACLE_SQL,
+    "op5_source_mixing": op5_mixing.ORACLE_SQL,
 }
