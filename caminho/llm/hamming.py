@@ -9,6 +9,7 @@ dropped, and survivors are verified on all bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,6 +33,15 @@ def block_masks(limit: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def agreeing(count: int, limit: int) -> int:
+    """Blocks that should agree among ``count`` fingerprints, so that a bucket holds few by
+    chance; every choice finds the same links."""
+    agree = 2
+    while 64 * agree // (limit + agree) < math.log2(max(count, 2)) - 5 and agree < 8:
+        agree += 1
+    return agree
+
+
 def pivot_table(fp: np.ndarray) -> np.ndarray:
     """Distances of each fingerprint to each pivot, one row per pivot."""
     return np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS]).astype(np.int8)

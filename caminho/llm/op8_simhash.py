@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .hamming import hamming_links
+from .hamming import agreeing, hamming_links
 from .store import materialize, table
 
 #: Words of a shingle, and the seed of its hash.
 SHINGLE, SEED = 4, 42
-#: Fingerprints link at this many differing bits or fewer; candidates share AGREE of LIMIT + AGREE bit blocks.
-LIMIT, AGREE = 4, 3
+#: Fingerprints link at this many differing bits or fewer.
+LIMIT = 4
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT, agree: int = AGREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long) and component_id.
 
     Fingerprints within ``limit`` differing bits are linked; component_id is the least
@@ -68,19 +68,19 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT, agree: int = AGREE) ->
     """
     prints = materialize(fingerprints(docs), "op8-prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(hamming_links(classes.select("fp"), limit, agree), "op8-links")
+    labels = components(hamming_links(classes.select("fp"), limit, agreeing(prints.count(), limit)), "op8-links")
     placed = classes.join(labels, classes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = placed.select("fp", "label").join(ids, "label").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, limit: int = LIMIT, agree: int = AGREE) -> DataFrame:
+def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least doc_id.
 
     Of rows that repeat that doc_id one stays; rows without doc_id stay as they are.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), limit, agree)
+    found = near_duplicates(docs.where("doc_id is not null"), limit)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     kept = docs.where("doc_id is not null").alias("d").join(keep.alias("k"), F.expr("d.doc_id = k.keep_id"), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

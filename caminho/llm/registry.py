@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import op1_quality_rules, op5_mixing
 from .op6_packing import op6_packing
 from .op10_suffix_dedup import op10_suffix_repeats
+from .op7_line_dedup import op7_fuzzy_lines
 from .op8_simhash import op8_simhash_pivots
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.op1_quality_rules,
     "op5_source_mixing": op5_mixing.op5_source_mixing,
     "op6_packing": op6_packing,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_simhash_pivots": op8_simhash_pivots,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
