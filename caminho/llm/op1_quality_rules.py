@@ -53,17 +53,17 @@ def with_stats(docs: DataFrame) -> DataFrame:
     same = lambda x, k: F.coalesce(F.get("_pairs", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_pairs", k + 1)["h"] == x["h"], F.lit(False))
     hits = F.sort_array(F.transform(F.filter("_pairs", same), lambda x: x["i"]))
     step = step.withColumn("_hits", hits).drop("_pairs")
-    stats = F.struct(
-        F.col("_n_words").alias("n_words"),
-        (F.length(text) - F.regexp_count(text, F.lit("[\\x20\\x09-\\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.col("_n_lines") - F.col("_n_other")).alias("n_dup_lines"),
-        F.coalesce(_covered(F.col("_hits")), F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.col("_n_lines").alias("n_text_lines"),
-        F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
-        F.col("_n_stutter").alias("n_stutter"),
-    )
-    return step.withColumn("_stats", stats).drop("_n_words", "_n_stutter", "_n_lines", "_n_other", "_hits")
+    step = step.withColumns(
+        {
+            "_word_chars": (F.length(text) - F.regexp_count(text, F.lit("[\\x20\\x09-\\x0D]"))).cast("long"),
+            "_n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+            "_n_dup_lines": F.col("_n_lines") - F.col("_n_other"),
+            "_n_repeat_words": F.coalesce(_covered(F.col("_hits")), F.lit(0).cast("long")),
+            "_n_text_lines": F.col("_n_lines"),
+            "_n_upper": F.regexp_count(text, F.lit("\\p{Lu}")).cast("long"),
+        }
+    ).drop("_n_lines", "_n_other", "_hits")
+    return step.withColumn("_stats", F.struct(*[F.col(f"_{s}").alias(s) for s in STATS])).drop(*[f"_{s}" for s in STATS])
 
 
 def _per_mille(rule: str) -> Column:
@@ -150,13 +150,15 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns. Cutoffs come from the
-    labelled rows alone; each row is then judged where it is, without a shuffle of texts."""
+    labelled rows alone; each row is then judged where it is, without a shuffle of texts.
+    The row number holds the filter above the statistics, which it would else repeat."""
     held = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), F.col("text").cast("string").alias("text"))
     named = labels.select(F.col("doc_id").alias("_id")).distinct()
     held = held.join(named, held.doc_id == named._id, "left_semi")
     cuts = materialize(cutoffs(with_stats(held).drop("text"), labels, alpha, delta), "op1-cutoffs")
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col("lang").cast("string").alias("stratum"))
-    return _judged(with_stats(packed), cuts).where("_kept").select("_row.*")
+    rated = with_stats(packed).withColumn("_at", F.monotonically_increasing_id())
+    return _judged(rated, cuts).where("_kept and _at >= 0").select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
