@@ -55,10 +55,10 @@ def survivors(table: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np
     return left
 
 
-def forest(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, limit: int, pivots: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect each linked set of ``fp``: every member is visited once and then
     compared only with members not reached before."""
-    table, rest = pivot_table(fp), np.arange(len(fp))
+    table, rest = pivot_table(fp) if pivots else (), np.arange(len(fp))
     a, b = [], []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
@@ -76,7 +76,7 @@ def forest(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def _bucket_links(fp: np.ndarray, start: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bucket_links(fp: np.ndarray, start: np.ndarray, limit: int, pivots: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links inside the buckets of ``fp`` that begin at ``start``."""
     size = np.diff(np.append(start, len(fp)))
     for n in np.unique(size):
@@ -86,25 +86,27 @@ def _bucket_links(fp: np.ndarray, start: np.ndarray, limit: int) -> Iterator[tup
         if n <= SMALL:
             i, j = np.triu_indices(n, 1)
             i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            members = (first[:, None] + np.arange(n)).ravel()
-            place = np.zeros(len(fp), np.int64)
-            place[members] = np.arange(len(members))
-            left = survivors(pivot_table(fp[members]), place[i], place[j], limit)
-            left = left[np.bitwise_count(fp[i[left]] ^ fp[j[left]]) <= limit]
+            if pivots:
+                members = (first[:, None] + np.arange(n)).ravel()
+                place = np.zeros(len(fp), np.int64)
+                place[members] = np.arange(len(members))
+                left = survivors(pivot_table(fp[members]), place[i], place[j], limit)
+                i, j = i[left], j[left]
+            left = np.bitwise_count(fp[i] ^ fp[j]) <= limit
             yield fp[i[left]], fp[j[left]]
         else:
             for s in first:
-                i, j = forest(fp[s : s + n], limit)
+                i, j = forest(fp[s : s + n], limit, pivots)
                 yield fp[s + i], fp[s + j]
 
 
-def _links_of_sorted(limit: int):
+def _links_of_sorted(limit: int, pivots: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out(t, key, fp):
             start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-            for a, b in _bucket_links(fp, start, limit):
+            for a, b in _bucket_links(fp, start, limit, pivots):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -126,12 +128,13 @@ def _links_of_sorted(limit: int):
     return run
 
 
-def hamming_links(prints: DataFrame, limit: int, agree: int) -> DataFrame:
+def hamming_links(prints: DataFrame, limit: int, agree: int, pivots: bool = True) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints within ``limit`` differing bits.
 
     ``prints`` has one long column of distinct fingerprints. Every pair within the limit is
     connected by the links of some bucket; inside a large bucket a spanning set of links is
-    returned instead of all pairs. No rows in, no rows out.
+    returned instead of all pairs. Without ``pivots`` candidates are verified straight away.
+    No rows in, no rows out.
     """
     fp = F.col(prints.columns[0])
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(limit, agree)])
@@ -139,4 +142,4 @@ def hamming_links(prints: DataFrame, limit: int, agree: int) -> DataFrame:
         "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
     )
     dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
-    return dealt.mapInArrow(_links_of_sorted(limit), "a long, b long").distinct()
+    return dealt.mapInArrow(_links_of_sorted(limit, pivots), "a long, b long").distinct()
