@@ -7,6 +7,7 @@ from .op6_packing import op6_packing
 from .op10_suffix_dedup import op10_suffix_repeats
 from .op7_line_dedup import op7_fuzzy_lines
 from .op8_simhash import op8_simhash_pivots
+from .op9_pii import op9_pii_spans
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.op1_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_simhash_pivots": op8_simhash_pivots,
+    "op9_pii_spans": op9_pii_spans,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
