@@ -27,8 +27,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": op1_quality_rules.ORACLE_SQL,
-    "op2_quality_score": op2_quality_score,
-    "op3_spotsigs": op3_spotsigs,
-    "op4_html_blocks": op4_html_blocks,
     "op5_source_mixing": op5_mixing.ORACLE_SQL,
 }
