@@ -102,26 +102,26 @@ def _bucket_links(fp: np.ndarray, start: np.ndarray, limit: int, pivots: bool) -
 
 def _links_of_sorted(limit: int, pivots: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(t, key, fp):
-            start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
+        def out(key, fp):
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for a, b in _bucket_links(fp, start, limit, pivots):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            t, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            if not len(t):
+            key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            if not len(key):
                 continue
-            held.append((t, key, fp.view(np.uint64)))
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+            held.append((key, fp.view(np.uint64)))
+            last = np.flatnonzero(key != key[-1])
             cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on in the next batch
             if cut:
-                t, key, fp = (np.concatenate(x) for x in zip(*held))
-                whole = len(t) - (batch.num_rows - cut)
-                yield from out(t[:whole], key[:whole], fp[:whole])
-                held = [(t[whole:], key[whole:], fp[whole:])]
+                key, fp = (np.concatenate(x) for x in zip(*held))
+                whole = len(key) - (batch.num_rows - cut)
+                yield from out(key[:whole], fp[:whole])
+                held = [(key[whole:], fp[whole:])]
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
 
@@ -138,8 +138,9 @@ def hamming_links(prints: DataFrame, limit: int, agree: int, pivots: bool = True
     """
     fp = F.col(prints.columns[0])
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(limit, agree)])
+    # One long as key sorts by radix; should two keys ever collide, their buckets are compared as one.
     keyed = prints.select(F.posexplode(masks).alias("t", "mask"), fp.alias("fp")).select(
-        "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
+        F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"
     )
-    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_links_of_sorted(limit, pivots), "a long, b long").distinct()
