@@ -30,7 +30,9 @@ LENGTH, GRAM = 100, 28
 #: An anchor with more different contexts than this is settled window by window, over all executors.
 HOT = 4000
 #: Windows sorted at once.
-BLOCK = 60_000
+BLOCK = 30_000
+#: Documents whose repeats are settled before the shuffle.
+DOCS = 3000
 #: Bytes hashed at once; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 
@@ -146,7 +148,7 @@ def _unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _sketch(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(h, ctx, doc, info): odd h for an open anchor; even h, with the range in ctx and the row key in info, for bytes that surely go."""
-        for batch in batches:
+        for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
             doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             offsets, data = blobs(batch.column(2))
             parts = [anchors(data[s:e], length, gram) for s, e in zip(offsets[:-1], offsets[1:])]
