@@ -94,11 +94,11 @@ def stage_matches(rows: DataFrame, table: DataFrame, stage: Stage) -> DataFrame:
     return found.select("row_id", *CANDIDATE)
 
 
-def by_stages(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """The cascade as defined: stage after stage, matched rows leaving after each. The plan
-    that the collapsed form is held against; it joins 25 times."""
+def by_stages(rows: DataFrame, tables: dict[str, DataFrame], stages: list[Stage] = STAGES) -> DataFrame:
+    """The cascade as defined: stage after stage, matched rows leaving after each. The tests
+    hold the collapsed form against a few stages of it; its plan doubles with every stage."""
     left, found = prepared(rows), []
-    for stage in STAGES:
+    for stage in stages:
         found.append(stage_matches(left, tables[stage.table], stage))
         left = left.join(found[-1].select("row_id").distinct(), "row_id", "left_anti")
     return reduce(DataFrame.unionByName, found)
@@ -127,10 +127,24 @@ def _phase(x: DataFrame, table: DataFrame, keys: list[str], stages: list[Stage])
     found = joined.select(F.col("x.row_id").alias("row_id"), F.col("x.numero").alias("_numero"), rank.alias("rank"), *[_t(k).alias(f"_k{i}") for i, k in enumerate(keys)], *_payload(table.columns))
     found = found.where("rank is not null").withColumn("_least", F.min("rank").over(Window.partitionBy(*grain))).where("rank = _least").drop("_least")
     near = [s.rank for s in stages if s.matcher.endswith("interpolate")]
-    if not near:
-        return found.select("row_id", *CANDIDATE)
-    means = interpolated(found.where(F.col("rank").isin(*near)), grain)
-    return found.where(~F.col("rank").isin(*near)).select("row_id", *CANDIDATE).unionByName(means.select("row_id", *CANDIDATE))
+    return (_averaged(found, grain, near) if near else found).select("row_id", *CANDIDATE)
+
+
+def _averaged(found: DataFrame, grain: list[str], near: list[int]) -> DataFrame:
+    """As interpolated, for candidates of exact and interpolated ranks in one pass: windows on
+    the grain instead of an aggregation, so exact candidates need no second copy of the join."""
+    is_near = F.col("rank").isin(*near)
+    rows = found.withColumn("endereco_encontrado", F.when(is_near, renumber(F.col("endereco_encontrado"), F.col("_numero"))).otherwise(F.col("endereco_encontrado")))
+    apart = F.abs(F.col("numero_encontrado") - F.col("_numero"))
+    rows = rows.withColumns({"_same": apart == 0, "_w": F.try_divide(F.lit(1.0), apart.cast("double"))})
+    group = Window.partitionBy(*grain, "rank", "endereco_encontrado")
+    exact = F.max(F.col("_same").cast("int")).over(group) == 1
+    mean = lambda c: F.when(exact, F.avg(F.when(F.col("_same"), F.col(c))).over(group)).otherwise(F.try_divide(F.sum(F.col(c) * F.col("_w")).over(group), F.sum("_w").over(group)))
+    rest = [c for c in CANDIDATE if c not in ("rank", "lat", "lon", "endereco_encontrado", "desvio_metros", "numero_encontrado")]
+    new = {"lat": mean("lat"), "lon": mean("lon"), "desvio_metros": F.rint(F.avg("desvio_metros").over(group)).cast("int"), "numero_encontrado": F.col("_numero"), **{c: F.min(c).over(group) for c in rest}}
+    rows = rows.withColumns({f"_n_{c}": v for c, v in new.items()}).withColumn("_place", F.row_number().over(group.orderBy("_w", "lat", "lon")))
+    rows = rows.where(~is_near | (F.col("_place") == 1))
+    return rows.withColumns({c: F.when(is_near, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in new})
 
 
 def collapsed(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

@@ -56,9 +56,13 @@ def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def match(rows: DataFrame, tables: dict[str, DataFrame], resolve_ties: bool = True) -> DataFrame:
-    """Candidates of standardized rows, one per row if ties are resolved, with labels."""
+    """Candidates of standardized rows, one per row if ties are resolved, with labels.
+
+    Rows with their similar streets are read by eight joins, so they are persisted (in memory
+    or on disk) rather than scored eight times.
+    """
     tables = {name: prune(t, rows) for name, t in tables.items()}
-    found = collapsed(with_similar_street(rows, tables), tables)
+    found = collapsed(with_similar_street(rows, tables).persist(), tables)
     found = resolve(found) if resolve_ties else flagged(found)
     return found.withColumns({"tipo_resultado": stage_code(F.col("rank")), "precisao": precision_label(F.col("rank"))})
 
