@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import blobs, lists, to_batch
+from .arrow import blobs, lean, lists, to_batch
 from .store import materialize, table
 
 #: Bytes of a string that counts as repeated, and of the grams that anchor it.
@@ -31,8 +31,6 @@ LENGTH, GRAM = 100, 28
 HOT = 4000
 #: Windows sorted at once.
 BLOCK = 30_000
-#: Documents whose repeats are settled before the shuffle.
-DOCS = 3000
 #: Bytes hashed at once; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 
@@ -148,7 +146,7 @@ def _unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _sketch(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(h, ctx, doc, info): odd h for an open anchor; even h, with the range in ctx and the row key in info, for bytes that surely go."""
-        for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
+        for batch in batches:
             doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             offsets, data = blobs(batch.column(2))
             parts = [anchors(data[s:e], length, gram) for s, e in zip(offsets[:-1], offsets[1:])]
@@ -373,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
     )
-    sketch = rows.select("doc", "row_key", "text").mapInArrow(_sketch(length, gram), "h long, ctx long, doc long, info long")
+    sketch = rows.select("doc", "row_key", "text").mapInArrow(lean(_sketch(length, gram)), "h long, ctx long, doc long, info long")
     dealt = sketch.repartition("h").sortWithinPartitions("h", "ctx", "doc", "info")
     settled = materialize(dealt.mapInArrow(_settle(length, hot), "h long, doc long, row_key long, s long, e long"), "op10-settled")
 
@@ -383,17 +381,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         asked = settled.where(which).groupBy("doc", "row_key").agg(F.collect_list(F.struct("h", span.alias("span"))).alias("asked"))
         asked = asked.select("doc", "row_key", F.col("asked.h").alias("h"), F.col("asked.span").alias("span"))
         found = rows.join(asked, ["doc", "row_key"]).select("doc", "row_key", "doc_id", "text", "h", "span")
-        return found.mapInArrow(_contexts, "h long, doc long, row_key long, s long, context binary")
+        return found.mapInArrow(lean(_contexts), "h long, doc long, row_key long, s long, context binary")
 
     cold = contexts("h <> 0 and h & 1 = 0").repartition("h").sortWithinPartitions("h", "doc", "row_key", "s")
-    cold = cold.mapInArrow(_compare(length), "doc long, row_key long, s long, e long")
+    cold = cold.mapInArrow(lean(_compare(length)), "doc long, row_key long, s long, e long")
     spread = contexts("h & 1 = 1").mapInArrow(_spread(length), "w long, doc long, row_key long, s long")
     spread = spread.repartition("w").sortWithinPartitions("w", "doc", "row_key", "s")
     spread = spread.mapInArrow(_first_of_sorted(length), "doc long, row_key long, s long, e long")
     gone = settled.where("h = 0").select("doc", "row_key", "s", "e").union(cold).union(spread)
     gone = gone.groupBy("doc", "row_key").agg(F.collect_list(span).alias("spans"))
     whole = rows.join(gone, ["doc", "row_key"], "left").select("doc", "row_key", "doc_id", "text", "spans")
-    return whole.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import to_batch
+from .arrow import lean, to_batch
 from .store import table
 
 #: Tokens of a sequence, the id that ends a document, and its vocabulary.
@@ -33,6 +33,8 @@ AT_SENTENCE, INSIDE = 4, 24
 BLOCK = 1 << 18
 #: Positions in running text at which a cut is considered, besides document and sentence ends.
 STRIDE = 256
+#: Special tokens of the vocabulary; a text that has one goes to the tokenizer itself.
+SPECIAL = ("<|endoftext|>",)
 #: Characters encoded at once.
 PIECE = 1 << 20
 
@@ -54,19 +56,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         path = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
-        self.whole = Tokenizer.from_file(str(path(f"{vocabulary}.json")))
+        self._load = lambda: Tokenizer.from_file(str(path(f"{vocabulary}.json")))
         with open(path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(ranks.values()) + 2, bool)
         for token, rank in ranks.items():
             self.ends[rank] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n")
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        return self._load()
+
     def __call__(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end id. Long texts are encoded in pieces: a piece may
         begin at a plain space between two words, where the tokenizer begins one as well."""
-        plain = _OTHER.search(text) is None and not any(x in text for x in self.special)
+        plain = _OTHER.search(text) is None and not any(x in text for x in SPECIAL)
         if not plain:
             return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END], np.uint32)
         out, at = [], 0
@@ -201,7 +207,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, folder
     doc_id stays null; other columns are ignored; no rows give no pieces.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(size, vocabulary, folder), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_packer(size, vocabulary, folder)), schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import lean
 from .components import components
 from .hamming import agreeing, hamming_links
 from .store import materialize, table
@@ -54,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row of ``docs``; the whole text is read, null counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
