@@ -12,6 +12,7 @@ from .operators import fuzzy, lattice, matching, spatial, ties
 from .plans import cep, geocode, reverse
 from .plans.stages import ATTEMPTS, BY_CODE, STAGES, STATE_KEYS, TABLES, Stage
 from .sources.addresses import INPUT_SQL, POINTS_SQL, input_rows, read, register_points
+from .sources.store import ReferenceStore, scratch
 
 ORDER_SQL = "contagem_cnefe DESC NULLS LAST, desvio_metros NULLS LAST, endereco_encontrado NULLS LAST, lat NULLS LAST, lon NULLS LAST"
 
@@ -106,8 +107,11 @@ def _rounded(name: str):
     return F.round(F.col(name) + 1.23e-8, 6)
 
 
+_STORES: dict[tuple[str, str], ReferenceStore] = {}
+
+
 class _Case:
-    """Tables that the queries share, for one data folder; the lattice is kept while it is read several times."""
+    """Tables that the queries share, for one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -118,7 +122,23 @@ class _Case:
         return lattice.build(self.points, name)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: t.persist() for name, t in lattice.lattice(self.points.persist()).items()}
+        """The eight tables as stored ones, which is how they are meant to be read; built once a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORES:
+            store = ReferenceStore(scratch(self.spark))
+            store.write(lattice.lattice(self._stored(self.points)))
+            _STORES[key] = store
+        store = _STORES[key]
+        return {name: store.read(self.spark, name) for name in TABLES}
+
+    def input(self) -> DataFrame:
+        """The input rows, stored."""
+        return self._stored(self.rows)
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def _places(df: DataFrame, *more: str) -> DataFrame:
@@ -149,18 +169,18 @@ def query(sql: str | None = None, name: str | None = None):
 
 @query(_with(_cascade_sql(), CANDIDATES_SQL, TIES_SQL) + """SELECT inp.row_id, inp.logradouro, round(lat + 1.23e-8, 6) AS lat, round(lon + 1.23e-8, 6) AS lon, CASE """
        + " ".join(f"WHEN rank = {s.rank} THEN '{s.precision}'" for s in STAGES) + " END AS precisao, CASE " + " ".join(f"WHEN rank = {s.rank} THEN '{s.code}'" for s in STAGES)
-       + " END AS tipo_resultado, desvio_metros, endereco_encontrado, contagem_cnefe, empate, logradouro_encontrado, numero_encontrado FROM inp LEFT JOIN r ON inp.row_id = r.row_id")
+       + " END AS tipo_resultado, desvio_metros, endereco_encontrado, contagem_cnefe, CAST(empate AS INTEGER) AS empate, logradouro_encontrado, numero_encontrado FROM inp LEFT JOIN r ON inp.row_id = r.row_id")
 def geocode_full(c: _Case) -> DataFrame:
     """The whole cascade with ties resolved, merged to all input rows."""
-    found = geocode.match(c.rows.persist(), c.tables())
+    found = geocode.match(c.input(), c.tables())
     out = geocode.merge(c.rows.select("row_id", "logradouro"), found, ["lat", "lon", "precisao", "tipo_resultado", "desvio_metros", "endereco_encontrado", "contagem_cnefe", "empate", "logradouro_encontrado", "numero_encontrado"])
-    return out.withColumns({"lat": _rounded("lat"), "lon": _rounded("lon")})
+    return out.withColumns({"lat": _rounded("lat"), "lon": _rounded("lon"), "empate": F.col("empate").cast("int")})
 
 
 @query(_with(_cascade_sql(), CANDIDATES_SQL) + f"SELECT {PLACES}, CAST(similaridade_logradouro AS DOUBLE) AS similaridade FROM k")
 def geocode_candidates(c: _Case) -> DataFrame:
     """All candidates of each row's first stage that has any."""
-    tables, rows = c.tables(), c.rows.persist()
+    tables, rows = c.tables(), c.input()
     return _places(matching.collapsed(fuzzy.with_similar_street(rows, tables), tables), F.col("similaridade_logradouro").cast("double").alias("similaridade"))
 
 
@@ -515,7 +535,7 @@ def standardize_state(c: _Case) -> DataFrame:
 @query(_with(_cascade_sql(), CANDIDATES_SQL, TIES_SQL) + "SELECT rank, CAST(count(*) AS BIGINT) AS n, quantile_cont(desvio_metros, 0.5) AS p50, quantile_cont(desvio_metros, 0.9) AS p90 FROM r GROUP BY rank")
 def stage_profile(c: _Case) -> DataFrame:
     """Rows and deviation quantiles by stage."""
-    found = geocode.match(c.rows.persist(), c.tables())
+    found = geocode.match(c.input(), c.tables())
     return found.groupBy("rank").agg(F.count("*").alias("n"), F.percentile("desvio_metros", 0.5).alias("p50"), F.percentile("desvio_metros", 0.9).alias("p90"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -15,6 +17,12 @@ from ..plans.stages import TABLES, file_name
 RELEASE = "v1"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a local one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/caminho-{uuid.uuid4().hex}"
+
+
 class ReferenceStore:
     """Reference tables under a folder, one directory per release.
 
