@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import standardize
+from .functions import geo, standardize
 from .functions.geo import haversine_m, renumber, utm_forward
 from .functions.similarity import jaro_similarity
 from .operators import fuzzy, lattice, matching, spatial, ties
@@ -164,6 +164,18 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _utm_sql(source: str, keys: str) -> str:
+    """Tables ending in {source}_xy: ``keys`` of the table ``source`` and the projected x and y of its lat and lon."""
+    size, alpha, e = geo._series()
+    at = "0.5 * ln((1 + ({0})) / (1 - ({0})))"
+    t = f"sinh({at.format('sin(p)')} - {e!r} * {at.format(f'{e!r} * sin(p)')})"
+    x = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    y = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    return f"""{source}_a AS (SELECT {keys}, radians(lat) AS p, radians(lon + 45.0) AS q FROM {source}), {source}_b AS (SELECT {keys}, q, {t} AS t FROM {source}_a),
+{source}_d AS (SELECT {keys}, atan2(t, cos(q)) AS xi, {at.format('sin(q) / sqrt(1 + t * t)')} AS eta FROM {source}_b),
+{source}_xy AS (SELECT {keys}, 500000.0 + {geo.SCALE * size!r} * ({x}) AS x, 10000000.0 + {geo.SCALE * size!r} * ({y}) AS y FROM {source}_d)"""
+
+
 # Whole queries.
 
 
@@ -184,7 +196,11 @@ def geocode_candidates(c: _Case) -> DataFrame:
     return _places(matching.collapsed(fuzzy.with_similar_street(rows, tables), tables), F.col("similaridade_logradouro").cast("double").alias("similaridade"))
 
 
-@query()
+_ASKED = "asked AS (SELECT pt_id, lat - 0.003 AS lat, lon + 0.004 AS lon FROM pts WHERE pt_id % 50 = 0)"
+_REACHED = """reached AS (SELECT a.pt_id, t.endereco_completo, sqrt(pow(t.x - a.x, 2) + pow(t.y - a.y, 2)) AS distancia FROM asked_xy a JOIN T1_xy t ON t.x BETWEEN a.x - 2000 AND a.x + 2000 AND t.y BETWEEN a.y - 2000 AND a.y + 2000)"""
+
+
+@query(_with(_table_sql("T1"), _ASKED, _utm_sql("asked", "pt_id"), _utm_sql("T1", "endereco_completo"), _REACHED) + "SELECT pt_id, round(distancia, 3) AS distancia, endereco_completo FROM reached WHERE distancia <= 2000 QUALIFY row_number() OVER (PARTITION BY pt_id ORDER BY distancia, endereco_completo) = 1")
 def reverse_full(c: _Case) -> DataFrame:
     """Nearest address within 2 km of points near register points, on the projection."""
     near = c.points.where("pt_id % 50 = 0").select("pt_id", (F.col("lon") + 0.004).alias("lon"), (F.col("lat") - 0.003).alias("lat"))
@@ -480,19 +496,7 @@ def haversine(c: _Case) -> DataFrame:
     return c.points.select("pt_id", F.round(haversine_m(F.col("lat"), F.col("lon"), F.lit(-20.0), F.lit(-50.0)), 2).alias("d"))
 
 
-def _utm_sql() -> tuple[str, str]:
-    from .functions import geo
-
-    size, alpha, e = geo._series()
-    at = "0.5 * ln((1 + ({0})) / (1 - ({0})))"
-    t = f"sinh({at.format('sin(p)')} - {e!r} * {at.format(f'{e!r} * sin(p)')})"
-    x = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
-    y = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
-    return f"""a AS (SELECT pt_id, radians(lat) AS p, radians(lon + 45.0) AS q FROM pts), b AS (SELECT pt_id, q, {t} AS t FROM a),
-d AS (SELECT pt_id, atan2(t, cos(q)) AS xi, {at.format('sin(q) / sqrt(1 + t * t)')} AS eta FROM b)""", f"SELECT pt_id, round(500000.0 + {geo.SCALE * size!r} * ({x}), 3) AS x, round(10000000.0 + {geo.SCALE * size!r} * ({y}), 3) AS y FROM d"
-
-
-@query(_with(_utm_sql()[0]) + _utm_sql()[1])
+@query(_with(_utm_sql("pts", "pt_id")) + "SELECT pt_id, round(x, 3) AS x, round(y, 3) AS y FROM pts_xy")
 def utm_projection(c: _Case) -> DataFrame:
     """Projected coordinates."""
     x, y = utm_forward(F.col("lat"), F.col("lon"))
