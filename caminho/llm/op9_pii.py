@@ -26,7 +26,9 @@ MORE = {
     "email": f"(?<!{_LOCAL}){_LOCAL}++\\x20?(?:\\(at\\)|\\[at\\]|@)\\x20?{_HOST}++(?:\\x20?(?:\\.|\\(dot\\)|\\[dot\\])\\x20?{_HOST}++)+",
     "phone": "(?<![0-9A-Za-z+.])(?<![0-9][\\x20().-])(?:\\([0-9]{1,4}\\)|00[0-9]|[0-9])(?:[\\x20().-]{0,2}[0-9]){7,14}(?![\\x20().-]?[0-9A-Za-z])",
 }
-#: What a text must contain for a pattern to be tried.
+#: What a text must contain for a pattern to be tried: for the base phone only what its pattern implies, since any number of
+#: separators may lie between its digits.
+NEEDS_BASE = {"phone": "\\+[0-9][\\x20().0-9-]"}
 NEEDS = {"email": "@|\\(at\\)|\\[at\\]", "ip": "[0-9]\\.[0-9]", "card": "[0-9](?:[\\x20-]?[0-9]){11}", "phone": "[0-9](?:[\\x20().-]{0,2}[0-9]){7}"}
 #: Words whose presence shortly before a span speaks for personal data.
 HINTS = "(?i)mail|contact|write|phone|call|tel|mobil|fax|card|visa|account|konto|carte|tarjeta|compte|host|address|server"
@@ -56,7 +58,7 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str, pattern: str) -> Column:
+def _matches(text: Column, needs: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, span), by the lengths of what lies between them."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -69,7 +71,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
         return F.struct((start + F.length(x["span"])).alias("at"), F.concat(acc["out"], F.array(item(start, x["span"]))).alias("out"))
 
     all_ = F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(NEEDS[kind]), all_).otherwise(empty)
+    return F.when(text.rlike(needs), all_).otherwise(empty)
 
 
 def _side(char: Column) -> Column:
@@ -108,9 +110,9 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     text = F.col("_t")
     names = {}
     for kind in KINDS:
-        names[f"_b_{kind}"] = _matches(text, kind, BASE[kind])
+        names[f"_b_{kind}"] = _matches(text, NEEDS_BASE.get(kind, NEEDS[kind]), BASE[kind])
         if kind in MORE:
-            names[f"_m_{kind}"] = _matches(text, kind, MORE[kind])
+            names[f"_m_{kind}"] = _matches(text, NEEDS[kind], MORE[kind])
     step = step.withColumns(names)
 
     def rated(kind: str) -> list[Column]:
