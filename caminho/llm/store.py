@@ -40,6 +40,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where right has one (small) row a key and left
+    may have very many: rows of one key are dealt over ``salts`` tasks by a hash of the rest,
+    and right is repeated for each."""
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
+
+
 def words(text: Column) -> Column:
     """Array of the words of ``text``; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPACE), lambda w: w != "")
