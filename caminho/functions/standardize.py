@@ -55,7 +55,7 @@ def cep(text: Column) -> Column:
 _TYPES = "RUA|TRAVESSA|RAMAL|BECO|BLOCO|AVENIDA|RODOVIA|ESTRADA"
 _MONTHS = "JANEIRO|FEVEREIRO|MARCO|ABRIL|MAIO|JUNHO|JULHO|AGOSTO|SETEMBRO|OUTUBRO|NOVEMBRO|DEZEMBRO"
 _SPELLED = "UM|DOIS|TRES|CINCO|SEIS|SETE|OITO|NOVE|DEZ|ONZE|DOZE|TREZE"
-CODE_STREET = f"^({_TYPES})\\s+([A-Z]{{1,2}}-?|[0-9]{{1,3}}|[A-Z]+-?[0-9]+|[A-Z]+ [0-9]+|[0-9]+-?[A-Z]+)( KM( [0-9]+)?)?$"
+CODE_STREET = f"^({_TYPES})\\s+([A-Z]{{1,2}}-?|[0-9]{{1,3}}|[A-Z]{{1,2}}-?[0-9]{{1,3}}|[A-Z]{{1,2}}\\s+[0-9]{{1,3}}|[0-9]{{1,3}}-?[A-Z]{{1,2}})(\\s+KM( \\d+)?)?$"
 SPELLED_STREET = f"RUA ({_SPELLED})$"
 MONTH_STREET = f"\\bDE ({_MONTHS})\\b"
 SPELLED_TIE = "RUA (QUATRO|QUATORZE|QUINZE|DEZESSEIS|DEZESSETE|DEZOITO|DEZENOVE|VINTE|TRINTA|QUARENTA|CINQUENTA|SESSENTA|SETENTA|OITENTA|NOVENTA)"

@@ -30,15 +30,25 @@ def best_street(rows: DataFrame, table: DataFrame, block: tuple[str, ...], cutof
     return scored.where(F.col("similarity") > cutoff).groupBy(*keys, "logradouro").agg(best).select(*keys, "logradouro", F.col("b.street").alias("street"), (-F.col("b.s")).cast("decimal(5,3)").alias("similarity"))
 
 
+def settled(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """row_id of the rows that an exact or interpolated stage matches before any fuzzy one:
+    those whose street, code and locality are known, with a number if the row has one."""
+    keys = [*STATE_KEYS, "logradouro", "cep", "localidade"]
+    known = [(tables["T1"].where("numero is not null"), "numero is not null"), (tables["T3"], "numero is null")]
+    return reduce(DataFrame.union, [rows.where(which).join(t.select(*keys).distinct(), keys, "left_semi").select("row_id") for t, which in known if set(keys) <= set(t.columns)])
+
+
 def with_similar_street(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """``rows`` with similar, similaridade and level (1 to 3): the first of the three attempts
     that finds a street. A later attempt never replaces an earlier one, so all three can be
-    made up front."""
+    made up front. Rows that no fuzzy stage can reach are not asked for, where the tables
+    tell them (T1 is among them)."""
+    asked = rows.join(settled(rows, tables), "row_id", "left_anti") if "T1" in tables else rows
     for k, (name, block, table, cutoff) in enumerate(ATTEMPTS, 1):
         keys = [*STATE_KEYS, *block, "logradouro"]
-        found = best_street(rows, tables[table], block, cutoff).withColumnsRenamed({"street": f"_street_{name}", "similarity": f"_sim_{name}"})
-        rows = rows.join(found, keys, "left").withColumn(f"_level_{name}", F.when(F.col(f"_street_{name}").isNotNull(), k))
+        found = best_street(asked, tables[table], block, cutoff).withColumnsRenamed({"street": f"_street_{name}", "similarity": f"_sim_{name}"})
+        asked = asked.join(found, keys, "left").withColumn(f"_level_{name}", F.when(F.col(f"_street_{name}").isNotNull(), k))
     names = [a[0] for a in ATTEMPTS]
     pick = lambda what: F.coalesce(*[F.col(f"_{what}_{n}") for n in names])
-    rows = rows.withColumns({"similar": pick("street"), "similaridade": pick("sim"), "level": pick("level")})
-    return reduce(lambda df, n: df.drop(f"_street_{n}", f"_sim_{n}", f"_level_{n}"), names, rows)
+    asked = asked.select("row_id", pick("street").alias("similar"), pick("sim").alias("similaridade"), pick("level").alias("level")).where("similar is not null")
+    return rows.join(asked, "row_id", "left")

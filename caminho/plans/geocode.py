@@ -15,6 +15,7 @@ from ..operators.fuzzy import with_similar_street
 from ..operators.lattice import prune
 from ..operators.matching import collapsed
 from ..operators.ties import flagged, resolve
+from ..sources.store import stored
 from .stages import STAGES
 
 SHORT = ["lat", "lon", "precisao", "tipo_resultado", "desvio_metros", "endereco_encontrado"]
@@ -44,25 +45,27 @@ def standardized(rows: DataFrame, fields: AddressFields, id_column: str = "row_i
 
 
 def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
-    """``rows`` with a stable 1-based number in input order: a count per partition, then the place in it.
+    """``rows`` with a 1-based number in input order: a count per partition, then the place in it.
 
-    The number comes from the partition and the place in it, both fixed by the input files;
-    write or persist the result where the input is not deterministic.
+    The rows are written once with their partition and place, and all that follows reads that
+    table, so every row keeps its number even where ``rows`` computed anew would be dealt
+    otherwise (after a sort, a join, or adaptive coalescing).
     """
-    placed = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id())
-    counts = placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("low"))
-    before = counts.select("_p", "low", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return placed.join(before, "_p").withColumn(name, F.col("before") + F.col("_m") - F.col("low") + 1).drop("_m", "_p", "low", "before")
+    placed = stored(rows.withColumn("_m", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_m", 33))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("n"))
+    before = counts.select("_p", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(before, "_p").withColumn(name, F.col("before") + place + 1).drop("_m", "_p", "before")
 
 
 def match(rows: DataFrame, tables: dict[str, DataFrame], resolve_ties: bool = True) -> DataFrame:
     """Candidates of standardized rows, one per row if ties are resolved, with labels.
 
-    Rows with their similar streets are read by eight joins, so they are persisted (in memory
-    or on disk) rather than scored eight times.
+    Rows with their similar streets are read by eight joins, so they are stored rather than
+    scored eight times.
     """
     tables = {name: prune(t, rows) for name, t in tables.items()}
-    found = collapsed(with_similar_street(rows, tables).persist(), tables)
+    found = collapsed(stored(with_similar_street(rows, tables)), tables)
     found = resolve(found) if resolve_ties else flagged(found)
     return found.withColumns({"tipo_resultado": stage_code(F.col("rank")), "precisao": precision_label(F.col("rank"))})
 
@@ -77,8 +80,9 @@ def geocode(rows: DataFrame, fields: AddressFields, tables: dict[str, DataFrame]
     """``rows`` with coordinates, precision, expected error and the address found.
 
     ``tables`` are the eight reference tables. Unless ties are resolved a row may come more
-    than once; empate then tells. ``already_standard`` takes the fields as they are. The plan
-    is lazy; only ``keep_order`` sorts globally.
+    than once; empate then tells. ``already_standard`` takes the fields as they are. Rows are
+    numbered and their similar streets found at once, in scratch tables (see
+    sources.store.released); the rest is lazy, and only ``keep_order`` sorts globally.
     """
     for name, value in {"full": full, "resolve_ties": resolve_ties, "already_standard": already_standard, "geometry": geometry, "keep_order": keep_order}.items():
         if not isinstance(value, bool):

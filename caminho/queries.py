@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fields import AddressFields
 from .functions import geo, standardize
 from .functions.geo import haversine_m, renumber, utm_forward
 from .functions.similarity import jaro_similarity
@@ -12,7 +13,7 @@ from .operators import fuzzy, lattice, matching, spatial, ties
 from .plans import cep, geocode, reverse
 from .plans.stages import ATTEMPTS, BY_CODE, STAGES, STATE_KEYS, TABLES, Stage
 from .sources.addresses import INPUT_SQL, POINTS_SQL, input_rows, read, register_points
-from .sources.store import ReferenceStore, scratch
+from .sources.store import ReferenceStore, scratch, stored
 
 ORDER_SQL = "contagem_cnefe DESC NULLS LAST, desvio_metros NULLS LAST, endereco_encontrado NULLS LAST, lat NULLS LAST, lon NULLS LAST"
 
@@ -40,8 +41,15 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join([POINTS_SQL, INPUT_SQL, *parts]) + "\n"
 
 
+# Fixed values, spelled out here so that the SQL does not share the package's own.
+_CODES_PATTERN = "^(RUA|TRAVESSA|RAMAL|BECO|BLOCO|AVENIDA|RODOVIA|ESTRADA)\\s+([A-Z]{1,2}-?|[0-9]{1,3}|[A-Z]{1,2}-?[0-9]{1,3}|[A-Z]{1,2}\\s+[0-9]{1,3}|[0-9]{1,3}-?[A-Z]{1,2})(\\s+KM( \\d+)?)?$"
+_SPELLED_PATTERN = "(RUA UM|RUA DOIS|RUA TRES|RUA CINCO|RUA SEIS|RUA SETE|RUA OITO|RUA NOVE|RUA DEZ|RUA ONZE|RUA DOZE|RUA TREZE)$"
+_MONTH_PATTERN = "\\bDE (JANEIRO|FEVEREIRO|MARCO|ABRIL|MAIO|JUNHO|JULHO|AGOSTO|SETEMBRO|OUTUBRO|NOVEMBRO|DEZEMBRO)\\b"
+_SPELLED_TIE_PATTERN = "RUA (QUATRO|QUATORZE|QUINZE|DEZESSEIS|DEZESSETE|DEZOITO|DEZENOVE|VINTE|TRINTA|QUARENTA|CINQUENTA|SESSENTA|SETENTA|OITENTA|NOVENTA)"
+
+
 def _ambiguous_sql(name: str) -> str:
-    return f"coalesce((regexp_matches({name}, '{standardize.CODE_STREET}') OR regexp_matches({name}, '{standardize.SPELLED_STREET}')) AND NOT regexp_matches({name}, '{standardize.MONTH_STREET}'), false)"
+    return f"coalesce((regexp_matches({name}, '{_CODES_PATTERN}') OR regexp_matches({name}, '{_SPELLED_PATTERN}')) AND NOT regexp_matches({name}, '{_MONTH_PATTERN}'), false)"
 
 
 def _attempt_sql(name: str, block: tuple[str, ...], table: str, cutoff: float) -> str:
@@ -92,9 +100,9 @@ def _cascade_sql() -> str:
 CANDIDATES_SQL = "k AS (SELECT * FROM (SELECT *, min(rank) OVER (PARTITION BY row_id) AS _least FROM c) WHERE rank = _least)"
 TIES_SQL = f"""w AS (SELECT *, count(*) OVER (PARTITION BY row_id) > 1 AS tied, {_hav("lat", "lon", "lead(lat) OVER o", "lead(lon) OVER o")} AS d FROM k WINDOW o AS (PARTITION BY row_id ORDER BY {ORDER_SQL})),
 l AS (SELECT * EXCLUDE (tied, d), CASE WHEN tied THEN d END AS dist, tied FROM w),
-v AS (SELECT *, count(*) OVER (PARTITION BY row_id) > 1 AS empate, max(dist) OVER (PARTITION BY row_id) AS _most FROM l WHERE NOT tied OR dist IS NULL OR dist > {ties.SAME}),
-e AS (SELECT *, empate AND coalesce(_most > {ties.APART} OR log_causa_confusao OR coalesce(regexp_matches(logradouro_encontrado, '{standardize.SPELLED_TIE}'), false), false)
-  AND NOT coalesce(regexp_matches(logradouro_encontrado, '{standardize.MONTH_STREET}'), false) AS lost FROM v),
+v AS (SELECT *, count(*) OVER (PARTITION BY row_id) > 1 AS empate, max(dist) OVER (PARTITION BY row_id) AS _most FROM l WHERE NOT tied OR dist IS NULL OR dist > 300),
+e AS (SELECT *, empate AND coalesce(_most > 1000 OR log_causa_confusao OR coalesce(regexp_matches(logradouro_encontrado, '{_SPELLED_TIE_PATTERN}'), false), false)
+  AND NOT coalesce(regexp_matches(logradouro_encontrado, '{_MONTH_PATTERN}'), false) AS lost FROM v),
 f AS (SELECT *, bool_or(lost) OVER (PARTITION BY row_id) AS gone FROM e),
 r AS (SELECT * FROM f WHERE NOT empate
   UNION ALL SELECT * FROM f WHERE lost QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY {ORDER_SQL}) = 1
@@ -126,19 +134,14 @@ class _Case:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _STORES:
             store = ReferenceStore(scratch(self.spark))
-            store.write(lattice.lattice(self._stored(self.points)))
+            store.write(lattice.lattice(stored(self.points)))
             _STORES[key] = store
         store = _STORES[key]
         return {name: store.read(self.spark, name) for name in TABLES}
 
     def input(self) -> DataFrame:
         """The input rows, stored."""
-        return self._stored(self.rows)
-
-    def _stored(self, df: DataFrame) -> DataFrame:
-        path = scratch(self.spark)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return stored(self.rows)
 
 
 def _places(df: DataFrame, *more: str) -> DataFrame:
@@ -196,14 +199,37 @@ def geocode_candidates(c: _Case) -> DataFrame:
     return _places(matching.collapsed(fuzzy.with_similar_street(rows, tables), tables), F.col("similaridade_logradouro").cast("double").alias("similaridade"))
 
 
-_ASKED = "asked AS (SELECT pt_id, lat - 0.003 AS lat, lon + 0.004 AS lon FROM pts WHERE pt_id % 50 = 0)"
+_LABEL_SQL = "CASE " + " ".join(f"WHEN rank = {s.rank} THEN '{s.precision}'" for s in STAGES) + " END AS precisao, CASE " + " ".join(f"WHEN rank = {s.rank} THEN '{s.code}'" for s in STAGES) + " END AS tipo_resultado"
+
+
+def _public(c: _Case, **options) -> DataFrame:
+    """The public function on an input that was dealt anew, so that only stored row numbers can hold."""
+    rows = c.rows.withColumnRenamed("row_id", "pt").withColumn("numero", F.col("numero").cast("string")).orderBy("pt")
+    names = ["estado", "municipio", "logradouro", "numero", "cep", "localidade"]
+    out = geocode.geocode(rows, AddressFields(**{n: n for n in names}), c.tables(), **options)
+    return out.withColumns({"lat": _rounded("lat"), "lon": _rounded("lon")})
+
+
+@query(_with(_cascade_sql(), CANDIDATES_SQL, TIES_SQL) + f"SELECT inp.row_id AS pt, inp.logradouro, round(lat + 1.23e-8, 6) AS lat, round(lon + 1.23e-8, 6) AS lon, {_LABEL_SQL}, desvio_metros, endereco_encontrado FROM inp LEFT JOIN r ON inp.row_id = r.row_id")
+def geocode_public(c: _Case) -> DataFrame:
+    """The public function with its short result."""
+    return _public(c).select("pt", "logradouro", "lat", "lon", "precisao", "tipo_resultado", "desvio_metros", "endereco_encontrado")
+
+
+@query(_with(_cascade_sql(), CANDIDATES_SQL) + f"SELECT inp.row_id AS pt, round(lat + 1.23e-8, 6) AS lat, round(lon + 1.23e-8, 6) AS lon, {_LABEL_SQL}, endereco_encontrado, CAST(CASE WHEN rank IS NOT NULL THEN coalesce(similaridade_logradouro, 1) END AS DOUBLE) AS similaridade, CASE WHEN rank IS NOT NULL THEN count(*) OVER (PARTITION BY inp.row_id) > 1 END AS empate FROM inp LEFT JOIN k ON inp.row_id = k.row_id")
+def geocode_ties_kept(c: _Case) -> DataFrame:
+    """The public function with all columns, ties kept."""
+    return _public(c, full=True, resolve_ties=False).select("pt", "lat", "lon", "precisao", "tipo_resultado", "endereco_encontrado", F.col("similaridade_logradouro").alias("similaridade"), "empate")
+
+
+_ASKED = "asked AS (SELECT pt_id, lat - 0.003 AS lat, lon + 0.004 AS lon FROM pts WHERE pt_id % 100 = 0)"
 _REACHED = """reached AS (SELECT a.pt_id, t.endereco_completo, sqrt(pow(t.x - a.x, 2) + pow(t.y - a.y, 2)) AS distancia FROM asked_xy a JOIN T1_xy t ON t.x BETWEEN a.x - 2000 AND a.x + 2000 AND t.y BETWEEN a.y - 2000 AND a.y + 2000)"""
 
 
 @query(_with(_table_sql("T1"), _ASKED, _utm_sql("asked", "pt_id"), _utm_sql("T1", "endereco_completo"), _REACHED) + "SELECT pt_id, round(distancia, 3) AS distancia, endereco_completo FROM reached WHERE distancia <= 2000 QUALIFY row_number() OVER (PARTITION BY pt_id ORDER BY distancia, endereco_completo) = 1")
 def reverse_full(c: _Case) -> DataFrame:
     """Nearest address within 2 km of points near register points, on the projection."""
-    near = c.points.where("pt_id % 50 = 0").select("pt_id", (F.col("lon") + 0.004).alias("lon"), (F.col("lat") - 0.003).alias("lat"))
+    near = c.points.where("pt_id % 100 = 0").select("pt_id", (F.col("lon") + 0.004).alias("lon"), (F.col("lat") - 0.003).alias("lat"))
     return reverse.reverse_geocode(near, c.table("T1"), 2000).select("pt_id", F.round("distancia", 3).alias("distancia"), "endereco_completo")
 
 
@@ -221,16 +247,16 @@ def cep_lookup(c: _Case) -> DataFrame:
 # Sources and predicates.
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey <= 500")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
 def scan_filter_parquet(c: _Case) -> DataFrame:
     """Parquet scan with filter and column pruning."""
-    return read(c.spark, c.sf_dir, "orders").where("o_orderkey % 7 = 0 and o_custkey <= 500").select("o_orderkey", "o_custkey")
+    return read(c.spark, c.sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select("o_orderkey", "o_custkey")
 
 
-@query(_with(_table_sql("T3")) + "SELECT estado, municipio, logradouro, cep, localidade, n_casos FROM T3 WHERE (estado, municipio) IN (SELECT (estado, municipio) FROM inp WHERE row_id % 96 = 0)")
+@query(_with(_table_sql("T3")) + "SELECT estado, municipio, logradouro, cep, localidade, n_casos FROM T3 WHERE (estado, municipio) IN (SELECT (estado, municipio) FROM inp WHERE numero IS NULL AND cep IS NULL AND localidade = 'BUILDING')")
 def lattice_prune(c: _Case) -> DataFrame:
     """The part of a reference table in the input's states and cities."""
-    return lattice.prune(c.table("T3"), c.rows.where("row_id % 96 = 0")).select("estado", "municipio", "logradouro", "cep", "localidade", "n_casos")
+    return lattice.prune(c.table("T3"), c.rows.where("numero is null and cep is null and localidade = 'BUILDING'")).select("estado", "municipio", "logradouro", "cep", "localidade", "n_casos")
 
 
 @query(_with(_table_sql("T3")) + "SELECT DISTINCT estado, municipio, cep, logradouro FROM T3")
@@ -268,7 +294,7 @@ def precision_label(c: _Case) -> DataFrame:
     return rows.groupBy("n", "k").agg(F.count("*").alias("c")).withColumn("precisao", geocode.precision_label(F.col("k")))
 
 
-_STREETS = "SELECT concat(CASE p_partkey % 4 WHEN 0 THEN 'RUA ' WHEN 1 THEN 'AVENIDA ' WHEN 2 THEN 'RODOVIA ' ELSE '' END, CASE p_partkey % 7 WHEN 0 THEN 'A' WHEN 1 THEN '10' WHEN 2 THEN 'BR-364 KM 12' WHEN 3 THEN 'RUA DEZ' WHEN 4 THEN '15 DE NOVEMBRO' WHEN 5 THEN 'BR 116' ELSE upper(p_name) END) AS s, p_partkey FROM part"
+_STREETS = "SELECT concat(CASE p_partkey % 4 WHEN 0 THEN 'RUA ' WHEN 1 THEN 'AVENIDA ' WHEN 2 THEN 'RODOVIA ' ELSE '' END, CASE p_partkey % 7 WHEN 0 THEN 'A' WHEN 1 THEN '10' WHEN 2 THEN 'BR-364 KM 12' WHEN 3 THEN 'RUA DEZ' WHEN 4 THEN '15 DE NOVEMBRO' WHEN 5 THEN 'BR 116' ELSE CASE p_partkey % 3 WHEN 0 THEN 'MARIA 12' WHEN 1 THEN 'BRASIL 2000' ELSE upper(p_name) END END) AS s, p_partkey FROM part"
 
 
 @query(f"SELECT p_partkey, s, {_ambiguous_sql('s')} AS ambiguous FROM ({_STREETS})", "ambiguous_street")
@@ -346,11 +372,11 @@ def merge_left(c: _Case) -> DataFrame:
 _BOX = "b AS (SELECT municipio AS area, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM pts GROUP BY municipio)"
 
 
-@query(_with(_BOX) + "SELECT DISTINCT pt_id, area FROM pts JOIN b ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax WHERE pt_id % 3 = 0")
+@query(_with(_BOX) + "SELECT DISTINCT pt_id, area FROM pts JOIN b ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax")
 def bbox_range_join(c: _Case) -> DataFrame:
     """Areas whose box holds a point."""
     areas = spatial.boxes(c.points.withColumnRenamed("municipio", "area"), ["area"])
-    return spatial.within_boxes(c.points.where("pt_id % 3 = 0").select("pt_id", "lon", "lat"), areas).select("pt_id", "area").distinct()
+    return spatial.within_boxes(c.points.select("pt_id", "lon", "lat"), areas).select("pt_id", "area").distinct()
 
 
 @query(_with() + "SELECT round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax, min(lon) >= -73.99044997 AND max(lon) <= -28.83594354 AND min(lat) >= -33.75208127 AND max(lat) <= 5.27184108 AS inside FROM pts")

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -17,10 +19,47 @@ from ..plans.stages import TABLES, file_name
 RELEASE = "v1"
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/caminho-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder serves, but only a session whose executors run on
+    this machine; any other raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ArgumentError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    _MADE.append(f"{root.rstrip('/')}/caminho-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder and read back: computed once, whatever reads it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the scratch folders made so far, but for the first ``keep`` of them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_MADE) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end the scratch folders that were made within."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 class ReferenceStore:

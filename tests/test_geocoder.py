@@ -1,12 +1,14 @@
 """The geocoder: stages, ties, both cascade plans, and the public functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from caminho.errors import ArgumentError, NothingFoundError, OutsideCoverageError, ReferenceDataError
 from caminho.fields import AddressFields
 from caminho.functions.geo import renumber, utm_forward
-from caminho.functions.similarity import jaro, jaro_similarity, may_reach
+from caminho.functions.similarity import jaro, jaro_many, jaro_similarity, may_reach
 from caminho.functions.standardize import ambiguous_street, cep, number, state, street
 from caminho.operators.fuzzy import with_similar_street
 from caminho.operators.lattice import lattice
@@ -17,7 +19,9 @@ from caminho.plans.geocode import geocode, numbered
 from caminho.plans.reverse import reverse_geocode
 from caminho.plans.stages import STAGES
 from caminho.sources.addresses import input_rows, register_points
-from caminho.sources.store import ReferenceStore
+from caminho.sources import store as store_module
+from caminho.sources.store import ReferenceStore, stored
+from caminho.streaming.geocode import geocode_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +33,8 @@ def one(spark, column, **values):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    points = register_points(spark, SF).persist()
-    return {name: t.persist() for name, t in lattice(points).items()}
+    points = stored(register_points(spark, SF))
+    return {name: stored(t) for name, t in lattice(points).items()}
 
 
 def test_stage_table():
@@ -40,7 +44,7 @@ def test_stage_table():
 
 
 def test_collapsed_plan_equals_the_loop(spark, tables):
-    rows = with_similar_street(input_rows(register_points(spark, SF)), tables).persist()
+    rows = stored(with_similar_street(stored(input_rows(register_points(spark, SF))), tables))
     key = lambda r: (r.row_id, r["rank"], r.endereco_encontrado, round(r.lat, 7), round(r.lon, 7), r.contagem_cnefe, r.desvio_metros, r.numero_encontrado)
     whole = sorted(map(key, collapsed(rows, tables).collect()), key=str)
     loop = sorted(map(key, by_stages(rows, tables, STAGES[:4]).collect()), key=str)
@@ -55,7 +59,7 @@ def test_similarity(spark):
     assert found[0].s > 0.9 and found[0].m and found[1].s is None and not found[2].m
 
 
-@pytest.mark.parametrize("name,want", [("RUA A", True), ("AVENIDA E", True), ("RUA 10", True), ("RODOVIA BR 364", True), ("RODOVIA BR-364 KM 12", True), ("RUA DEZ", True), ("TRAVESSA RUA DEZ", True), ("RUA DO BECO", False), ("RUA QUATRO", False), ("RUA 15 DE NOVEMBRO", False), (None, False)])
+@pytest.mark.parametrize("name,want", [("RUA A", True), ("RUA MARIA 12", False), ("RUA PROJETADA 5", False), ("AVENIDA BRASIL 2000", False), ("RUA AB 123", True), ("RUA 1234", False), ("AVENIDA E", True), ("RUA 10", True), ("RODOVIA BR 364", True), ("RODOVIA BR-364 KM 12", True), ("RUA DEZ", True), ("TRAVESSA RUA DEZ", True), ("RUA DO BECO", False), ("RUA QUATRO", False), ("RUA 15 DE NOVEMBRO", False), (None, False)])
 def test_ambiguous_streets(spark, name, want):
     assert spark.createDataFrame([(name,)], "s string").select(ambiguous_street(F.col("s"))).first()[0] is want
 
@@ -144,6 +148,41 @@ def test_row_numbers(spark):
     assert [(r.row_id, r.id) for r in found] == [(i + 1, i) for i in range(100)]
 
 
+def test_row_numbers_of_rows_dealt_anew(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        left = spark.range(20_000).withColumn("k", F.xxhash64("id") % 100)
+        right = spark.range(-100, 101).toDF("k").withColumn("x", F.lit("x" * 20))
+        for rows in (left.orderBy(F.desc("id")), left.join(right, "k"), left.repartition(7, "k").groupBy("k", "id").count()):
+            found = numbered(rows).collect()
+            assert len(found) == 20_000 and len({r.id for r in found}) == 20_000 and {r.row_id for r in found} == set(range(1, 20_001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    ordered = {r.row_id: r.id for r in numbered(spark.range(1000).orderBy(F.desc("id"))).collect()}
+    assert ordered == {k: 1000 - k for k in range(1, 1001)}
+
+
+def test_many_similarities_at_once():
+    rnd = random.Random(4)
+    word = lambda: bytes(rnd.choice(b"ABC E") for _ in range(rnd.randint(0, 20)))
+    a, b = [[word() for _ in range(2000)] for _ in range(2)]
+    assert jaro_many(a, b).tolist() == [jaro(x, y) for x, y in zip(a, b)]
+
+
+def test_stream(spark, tables, tmp_path):
+    """A stream in two batches gives the rows of the plain call, and leaves no scratch tables."""
+    rows = register_points(spark, SF).where("pt_id % 160 = 0").select("pt_id", "estado", "municipio", "logradouro", F.col("numero").cast("string").alias("n"), "cep", "localidade")
+    fields = AddressFields(estado="estado", municipio="municipio", logradouro="logradouro", numero="n", cep="cep", localidade="localidade")
+    for k in (0, 1):
+        rows.where(F.col("pt_id") % 320 == 160 * k).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    want = {r.pt_id: r.endereco_encontrado for r in geocode(rows, fields, tables).collect()}
+    before, got = len(store_module._MADE), []
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    writer = geocode_stream(stream, fields, tables, lambda df, batch: got.append([(r.pt_id, r.endereco_encontrado) for r in df.collect()]))
+    writer.option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    assert len([x for x in got if x]) == 2 and dict(x for part in got for x in part) == want and len(store_module._MADE) == before
+
+
 def test_store(spark, tables, tmp_path):
     store = ReferenceStore(str(tmp_path), release="v2")
     with pytest.raises(ReferenceDataError):
