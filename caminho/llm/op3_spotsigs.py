@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from .words_common import STOP_WORDS
 CHAIN, SIMILAR = 2, 0.8
 #: Bytes of text that one task of the neighbour query holds, about.
 TASK_BYTES = 16 << 20
-#: Most ranges of doc_id; beyond it they grow, and their rows still stream through a task one by one.
-RANGES = 2048
+#: Ranges of doc_id, about a terabyte; of more text they grow, and their sorted rows stream through a task one by one.
+RANGES = 1 << 16
 #: Anchors, fixed values: frequent words that prose of four languages has in every sentence or so.
 ANCHORS = frozenset("the of and is to in le la de et les un der die und ist von das el que en los".split())
 
@@ -170,17 +171,27 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select((-F.col("doc_id")).alias("turn"), "doc_id", "text", F.xxhash64("text").alias("tie"))
+    rows = rows.select(F.bitwise_not("doc_id").alias("turn"), "doc_id", "text", F.xxhash64("text").alias("tie"))
     # The order is (null last, turn, tie); bounds come from all ids, their number from all sizes.
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    total = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
-    n = max(1, min(total[1], (total[0] or 0) // TASK_BYTES + 1, RANGES))
-    bounds = rows.where("turn is not null").approxQuantile("turn", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    edges = F.array(*[F.lit(b) for b in sorted({int(b) for b in bounds})]).cast("array<bigint>")
-    above = F.aggregate(edges, F.lit(0), lambda a, e: a + (F.col("turn") > e).cast("int"))
-    rows = rows.withColumn("part", F.when(F.col("turn").isNull(), F.lit(len(bounds) + 1)).otherwise(above))
+    size, none = F.octet_length("text").cast("long"), F.col("turn").isNull()
+    total = rows.agg(F.sum(F.when(~none, size)).alias("known"), F.count("turn").alias("ids"), F.sum(F.when(none, size)).alias("none")).first()
+    n = max(1, min(total.ids, (total.known or 0) // TASK_BYTES + 1, RANGES))
+    bounds = sorted({int(b) for b in rows.where(~none).approxQuantile("turn", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    # Two steps of about the root of the bounds each: the stretch of bounds, then the place in it.
+    step = max(1, math.isqrt(len(bounds)))
+    stretches = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    below = lambda edges: F.size(F.filter(edges, lambda e: F.col("turn") > e))
+    tops = F.array(*[F.lit(x[-1]) for x in stretches]).cast("array<bigint>")
+    fine = F.array(*[F.array(*map(F.lit, x)).cast("array<bigint>") for x in stretches]) if stretches else F.array(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("_s", below(tops))
+    part = F.col("_s") * step + F.coalesce(below(F.get(fine, F.col("_s"))), F.lit(0))
+    # Rows without doc_id stand in the order of their hash, so that ranges of the hash split them.
+    m = (total.none or 0) // TASK_BYTES + 1
+    hashed = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * m), F.lit(m - 1)) + len(bounds) + 1
+    rows = rows.withColumn("part", F.when(none, hashed).otherwise(part).cast("int")).drop("_s")
     place = F.struct(F.col("turn").isNull().alias("none"), F.col("turn").alias("turn"), F.col("tie").alias("tie"))
-    heads = rows.groupBy("part").agg(F.min(place).alias("head")).orderBy("part").collect()  # at most RANGES + 1 rows
+    heads = rows.groupBy("part").agg(F.min(place).alias("head")).orderBy("part").collect()  # a row a range
     known = [(h.part, heads[k - 1].part, h["head"]) for k, h in enumerate(heads)]
     known = docs.sparkSession.createDataFrame(known, "of int, lender int, head struct<none: boolean, turn: long, tie: long>")
     rows = rows.join(F.broadcast(known), F.col("part") == F.col("of"))
