@@ -2,9 +2,10 @@
 
 Windows are cut so that padding plus truncation penalties are least: f(j) is the least cost
 of the stream up to position j, f(j) = penalty(j) + min over i of f(i) + pad(i, j). A cut
-costs nothing at a document's end, little at a sentence's end and more elsewhere. Padding is
-SIZE - (j - i), so the best i is the least f(i) - (-i) of a sliding window, kept in a
-monotone queue; lengths that are powers of two are not padded and are tried one by one.
+costs nothing at a document's end, little at a sentence's end and more elsewhere. Every
+window is priced at SIZE - (j - i), also one that need not be padded because its length is a
+power of two: else short windows would be free and there would be many of them. So the best i
+is the least f(i) + i of a sliding window, kept in a monotone queue.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ AT_SENTENCE, INSIDE = 4, 24
 #: Tokens that one run of the dynamic programme sees; its last sequence goes on in the next run.
 BLOCK = 1 << 18
 #: Positions in running text at which a cut is considered, besides document and sentence ends.
-STRIDE = 256
+STRIDE = 16
 #: Special tokens of the vocabulary; a text that has one goes to the tokenizer itself.
 SPECIAL = ("<|endoftext|>",)
 #: Characters encoded at once.
@@ -97,19 +98,12 @@ def cuts(points: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]
     what a cut costs at each.
     """
     at = points.tolist()
-    place = {p: k for k, p in enumerate(at)}
     best, back = [0.0] * len(at), [0] * len(at)
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j, (p, extra) in enumerate(zip(at[1:], penalty.tolist()[1:]), 1):
         while at[queue[0][1]] < p - size:
             queue.popleft()
-        cost, source = queue[0][0] + size - p, queue[0][1]
-        for length in powers:
-            i = place.get(p - length)
-            if i is not None and best[i] < cost:
-                cost, source = best[i], i
-        best[j], back[j] = cost + extra, source
+        best[j], back[j] = queue[0][0] + size - p + extra, queue[0][1]
         key = best[j] + p
         while queue and queue[-1][0] >= key:
             queue.pop()
@@ -121,23 +115,14 @@ def cuts(points: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]
     return out[::-1]
 
 
-def _candidates(stream: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(stream: np.ndarray, ends: np.ndarray, sentence: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which ``stream`` may be cut, and what each costs."""
     n = len(stream)
     inside = np.flatnonzero(sentence[stream]) + 1
-    points = np.unique(np.concatenate([[0, n], ends, inside, np.arange(0, n, min(STRIDE, size)), [n - (n & (m - 1)) for m in (64, 256, 1024)]]))
+    points = np.unique(np.concatenate([[0, n], ends, inside, np.arange(0, n, min(STRIDE, size))]))
     penalty = np.full(len(points), float(INSIDE))
     penalty[np.searchsorted(points, inside)] = AT_SENTENCE
     penalty[np.searchsorted(points, ends)] = 0
-    if last:  # exact powers of two before the end let the rest go without padding
-        more, at = [], n
-        for k in range(size.bit_length()):
-            if n >> k & 1 and at > 0:
-                at -= 1 << k
-                more.append(at)
-        more = np.setdiff1d(np.array([x for x in more if x > 0], np.int64), points)
-        order = np.argsort(np.r_[points, more], kind="stable")
-        points, penalty = np.r_[points, more][order], np.r_[penalty, np.full(len(more), float(INSIDE))][order]
     return points, penalty
 
 
@@ -154,7 +139,7 @@ def _packer(size: int, vocabulary: str, folder: str | None):
             stream = np.concatenate([x[2] for x in held])
             over = np.cumsum([len(x[2]) for x in held])
             done = [x[1] + len(x[2]) == x[3] for x in held]
-            edges = cuts(*_candidates(stream, over[done], encode.ends, size, last), size)
+            edges = cuts(*_candidates(stream, over[done], encode.ends, size), size)
             if not last and len(edges) > 1:
                 edges.pop()
             stop = edges[-1]
@@ -201,8 +186,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, folder
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents keep the order in which they are read, and each input partition packs its own
-    stream, so texts are never shuffled and a lost task repeats its own work only. The last
-    sequences of a partition end in powers of two, without padding. Null texts are empty:
+    stream, so texts are never shuffled and a lost task repeats its own work only. Null texts are empty:
     such documents are their end id alone. Rows that repeat a doc_id are packed each; a null
     doc_id stays null; other columns are ignored; no rows give no pieces.
     """

@@ -40,15 +40,14 @@ def test_least_cost():
         def least(j):
             if j == 0:
                 return 0.0
-            pad = lambda x: 0 if x & (x - 1) == 0 else size - x
-            return penalty[j] + min(least(i) + pad(points[j] - points[i]) for i in range(j) if points[j] - points[i] <= size)
+            return penalty[j] + min(least(i) + size - (points[j] - points[i]) for i in range(j) if points[j] - points[i] <= size)
 
         found = cuts(np.array(points), np.array(penalty), size)
         at, cost = 0, 0.0
         for p in found:
             x = p - at
             assert x <= size
-            cost += penalty[points.index(p)] + (0 if x & (x - 1) == 0 else size - x)
+            cost += penalty[points.index(p)] + size - x
             at = p
         assert at == n and cost == least(len(points) - 1)
 
@@ -83,6 +82,8 @@ def test_round_trip(spark, monkeypatch):
             at += p["length"]
         assert 0 < at <= 2048
         padding += 0 if at & (at - 1) == 0 else 2048 - at
-    assert padding <= 0.02 * sum(p["length"] for p in pieces)
+    total = sum(p["length"] for p in pieces)
+    n_last = 3  # a partition's last sequence may be short
+    assert padding <= 0.02 * total + 2048 * n_last and len(per_sequence) <= 1.05 * total / 2048 + n_last
     assert pack(docs.limit(0)).count() == 0
     monkeypatch.undo()
