@@ -92,60 +92,66 @@ def _later(new: np.ndarray, identity: list[np.ndarray], carried: list[int] | Non
     return ~new & np.logical_or.reduce(other)
 
 
-def later_copies(windows: np.ndarray, *identity: np.ndarray) -> np.ndarray:
-    """Which rows of ``windows`` (in text order, equal width) have a previous factor as long as the row.
+def factors(order: list[int], lcp: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(length, source) of the longest previous factor of every position.
 
-    The stable sort puts equal suffixes in text order, so within a run of equal rows the
-    previous smaller position in suffix order is the row before. ``identity`` tells a place
-    that comes twice from two places.
+    ``order`` are the positions in suffix order, ``lcp`` the common prefix of each with the
+    one before. One stack finds the previous and the next smaller position in suffix order,
+    with the least common prefix on the way; source is -1 where nothing earlier matches.
     """
-    rows = np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel()
-    order = np.argsort(rows, kind="stable")
-    later = np.zeros(len(rows), bool)
-    new = np.append(True, rows[order[1:]] != rows[order[:-1]])[: len(rows)]
-    later[order] = _later(new, [x[order] for x in identity or (np.arange(len(rows)),)])
-    return later
+    n = len(order)
+    size, source = [0] * n, [-1] * n
+    stack: list[tuple[int, int]] = []
+    for at, common in zip([*order, -1], [*lcp, 0]):
+        while stack and stack[-1][0] > at:
+            top, before = stack.pop()
+            if stack and before > size[top]:
+                size[top], source[top] = before, stack[-1][0]
+            if at >= 0 and common > size[top]:
+                size[top], source[top] = common, at
+            common = min(common, before)
+        stack.append((at, common))
+    return np.array(size, np.int64), np.array(source, np.int64)
 
 
-def longest_previous_factors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(length, start) of the longest earlier match of each position of one text.
+def window_factors(windows: np.ndarray) -> np.ndarray:
+    """Length of the longest previous factor of each row of ``windows`` (in text order, equal
+    width) among the rows before it, found in the suffix order of the rows' bytes."""
+    n, width = windows.shape
+    rows = np.ascontiguousarray(windows)
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    lcp = np.zeros(n, np.int64)
+    for at in range(1, n, 8192):
+        differs = rows[order[at : at + 8192]] != rows[order[at - 1 : at + 8191][: len(order[at : at + 8192])]]
+        lcp[at : at + 8192] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    return factors(order.tolist(), lcp.tolist())[0]
 
-    Previous and next smaller positions in suffix order, with the least common prefix on the
-    way, found with one stack; start is -1 where nothing earlier matches.
-    """
+
+def longest_previous_factors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(length, start) of the longest earlier match of each position of one text; start is -1 where nothing earlier matches."""
     n = len(data)
     order = sorted(range(n), key=lambda i: data[i:])
-    lcp = [0] * (n + 1)
+    lcp = [0] * n
     for r in range(1, n):
         a, b = order[r - 1], order[r]
         while max(a, b) + lcp[r] < n and data[a + lcp[r]] == data[b + lcp[r]]:
             lcp[r] += 1
-    size, source, stack = np.zeros(n, int), np.full(n, -1), []
-    for r in range(n + 1):
-        at, common = (order[r] if r < n else -1), lcp[r]
-        while stack and stack[-1][0] > at:
-            top, before = stack.pop()
-            for reach, other in ((before, stack[-1][0] if stack else -1), (common, at)):
-                if reach > size[top] and other >= 0:
-                    size[top], source[top] = reach, other
-            common = min(common, before)
-        stack.append((at, common))
-    return size, source
+    return factors(order, lcp)
 
 
-def _packed(row_key: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (row_key << 41) | (at << 14) | ((at - first) << 7) | (last - first)
+def _packed(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (at << 14) | ((at - first) << 7) | (last - first)
 
 
-def _unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row key, first window start, last window start."""
-    first = ((info >> 14) & ((1 << 27) - 1)) - ((info >> 7) & 127)
-    return info >> 41, first, first + (info & 127)
+def _unpacked(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window start, last window start."""
+    first = (info >> 14) - ((info >> 7) & 127)
+    return first, first + (info & 127)
 
 
 def _sketch(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(h, ctx, doc, info): odd h for an open anchor; even h, with the range in ctx and the row key in info, for bytes that surely go."""
+        """(h, ctx, doc, row_key, info): odd h for an open anchor; even h, with the range in ctx, for bytes that surely go."""
         for batch in batches:
             doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             offsets, data = blobs(batch.column(2))
@@ -168,7 +174,8 @@ def _sketch(length: int, gram: int):
                 h=np.r_[h[q], spread].view(np.int64),
                 ctx=np.r_[ctx[q].view(np.int64), (start << 32) | end],
                 doc=np.r_[doc[q], doc[p]],
-                info=np.r_[_packed(key[q], at[q], first[q], last[q]), key[p]],
+                row_key=np.r_[key[q], key[p]],
+                info=np.r_[_packed(at[q], first[q], last[q]), np.zeros(len(p), np.int64)],
             )
 
     return run
@@ -176,9 +183,9 @@ def _sketch(length: int, gram: int):
 
 def _settle(length: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by (h, ctx, doc, info): ranges that go (h 0), and contexts to compare under their h (negated: a hot one)."""
+        """Of rows sorted by (h, ctx, doc, row_key, info): ranges that go (h 0), and contexts to compare under their h (negated: a hot one)."""
         group: int | None = None  # anchor hash of the last row, its context, that context's first place, and the contexts that wait
-        last_ctx, place = 0, [0, 0]
+        last_ctx, place = 0, [0, 0, 0]
         waiting: list[tuple[np.ndarray, ...]] = []
         n_waiting, is_hot = 0, False
 
@@ -186,27 +193,27 @@ def _settle(length: int, hot: int):
             return to_batch(h=h, doc=doc, row_key=key, s=start, e=end)
 
         def told(rows: tuple[np.ndarray, ...], flag: int):
-            h, doc, info = rows
-            key, first, last = _unpacked(info)
+            h, doc, key, info = rows
+            first, last = _unpacked(info)
             return made((h >> 1 << 1 | flag), doc, key, first, last + length)
 
         for batch in batches:
-            h, ctx, doc, info = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            h, ctx, doc, key, info = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             sure = (h & 1) == 0
             if sure.any():
                 s = ctx[sure]
-                yield made(np.zeros(len(s), np.int64), doc[sure], info[sure], s >> 32, s & 0xFFFFFFFF)
-                h, ctx, doc, info = (x[~sure] for x in (h, ctx, doc, info))
+                yield made(np.zeros(len(s), np.int64), doc[sure], key[sure], s >> 32, s & 0xFFFFFFFF)
+                h, ctx, doc, key, info = (x[~sure] for x in (h, ctx, doc, key, info))
             if not len(h):
                 continue
             new_h = np.r_[group is None or h[0] != group, h[1:] != h[:-1]]
             new_ctx = new_h | np.r_[ctx[0] != last_ctx, ctx[1:] != ctx[:-1]]
-            again = _later(new_ctx, [doc, info], place)
-            key, first, last = _unpacked(info[again])
-            yield made(np.zeros(len(key), np.int64), doc[again], key, first, last + length)
+            again = _later(new_ctx, [doc, key, info], place)
+            first, last = _unpacked(info[again])
+            yield made(np.zeros(len(first), np.int64), doc[again], key[again], first, last + length)
             if new_ctx.any():
-                place = [x[np.flatnonzero(new_ctx)[-1]] for x in (doc, info)]
-            rows, starts = (h[new_ctx], doc[new_ctx], info[new_ctx]), np.flatnonzero(new_h[new_ctx])
+                place = [x[np.flatnonzero(new_ctx)[-1]] for x in (doc, key, info)]
+            rows, starts = (h[new_ctx], doc[new_ctx], key[new_ctx], info[new_ctx]), np.flatnonzero(new_h[new_ctx])
             edges = np.append(starts, len(rows[0]))
             ahead = edges[0]  # contexts that go on with the group of the last batch
             if ahead:
@@ -273,11 +280,13 @@ def _compare(length: int):
         held: list[pa.RecordBatch] = []
 
         def settled(block: pa.RecordBatch) -> pa.RecordBatch:
+            h, doc, key, s = (block.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (s[1:] != s[:-1])][: len(h)]
+            block, doc, key, s = block.filter(pa.array(once)), doc[once], key[once], s[once]  # equal rows are one document
             data, at, row = _windows(block, length)
-            doc, key, s = (block.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
             offsets = blobs(block.column(4))[0]
             start = s[row] + at - offsets[row]
-            again = later_copies(data[at[:, None] + np.arange(length)], doc[row], key[row], start)
+            again = window_factors(data[at[:, None] + np.arange(length)]) >= length
             return _ranges(doc[row[again]], key[row[again]], start[again], length)
 
         for batch in batches:
@@ -312,7 +321,8 @@ def _spread(length: int):
                 offsets = blobs(part.column(4))[0]
                 prefix = _prefix(data[offsets[0] : offsets[-1]])
                 at0 = at - offsets[0]
-                yield to_batch(w=_hashes(prefix, at0, at0 + length, _POWER[at0]).view(np.int64), doc=doc[row], row_key=key[row], s=s[row] + at - offsets[row])
+                h = part.column(0).to_numpy(zero_copy_only=False)
+                yield to_batch(w=_hashes(prefix, at0, at0 + length, _POWER[at0]).view(np.int64), h=h[row], doc=doc[row], row_key=key[row], s=s[row] + at - offsets[row])
 
     return run
 
@@ -321,12 +331,12 @@ def _first_of_sorted(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, place = None, [0, 0, 0]
         for batch in batches:
-            w, doc, key, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            w, h, doc, key, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             if not len(w):
                 continue
-            new = np.r_[before is None or w[0] != before, w[1:] != w[:-1]]
+            new = np.r_[(w[0], h[0]) != before, (w[1:] != w[:-1]) | (h[1:] != h[:-1])]
             again = _later(new, [doc, key, s], place)
-            before = w[-1]
+            before = (w[-1], h[-1])
             if new.any():
                 place = [x[np.flatnonzero(new)[-1]] for x in (doc, key, s)]
             yield to_batch(doc=doc[again], row_key=key[again], s=s[again], e=s[again] + length)
@@ -361,18 +371,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     earlier start in the same document; a null doc_id comes after all others. Rows that
     repeat a doc_id with other text count as later or earlier by a hash of their text; rows
     equal in both are one document and all get its result. Null texts are empty; texts
-    shorter than ``length`` stay whole; other columns are ignored; no rows give no rows.
-    Texts are limited to 128 MB each by the packing of positions.
+    shorter than ``length`` stay whole; other columns are ignored; no rows give no rows. Equal
+    contexts, and windows of hot anchors, are equal by two independent 64-bit hashes; all other
+    windows are compared byte by byte.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.shiftrightunsigned(F.xxhash64(text), 42).alias("row_key"),
+        F.xxhash64(text).alias("row_key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
     )
-    sketch = rows.select("doc", "row_key", "text").mapInArrow(lean(_sketch(length, gram)), "h long, ctx long, doc long, info long")
-    dealt = sketch.repartition("h").sortWithinPartitions("h", "ctx", "doc", "info")
+    sketch = rows.select("doc", "row_key", "text").mapInArrow(lean(_sketch(length, gram)), "h long, ctx long, doc long, row_key long, info long")
+    dealt = sketch.repartition("h").sortWithinPartitions("h", "ctx", "doc", "row_key", "info")
     settled = materialize(dealt.mapInArrow(_settle(length, hot), "h long, doc long, row_key long, s long, e long"), "op10-settled")
 
     span = F.shiftleft("s", 32).bitwiseOR(F.col("e"))
@@ -385,8 +396,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     cold = contexts("h <> 0 and h & 1 = 0").repartition("h").sortWithinPartitions("h", "doc", "row_key", "s")
     cold = cold.mapInArrow(lean(_compare(length)), "doc long, row_key long, s long, e long")
-    spread = contexts("h & 1 = 1").mapInArrow(_spread(length), "w long, doc long, row_key long, s long")
-    spread = spread.repartition("w").sortWithinPartitions("w", "doc", "row_key", "s")
+    spread = contexts("h & 1 = 1").mapInArrow(_spread(length), "w long, h long, doc long, row_key long, s long")
+    spread = spread.repartition("w").sortWithinPartitions("w", "h", "doc", "row_key", "s")
     spread = spread.mapInArrow(_first_of_sorted(length), "doc long, row_key long, s long, e long")
     gone = settled.where("h = 0").select("doc", "row_key", "s", "e").union(cold).union(spread)
     gone = gone.groupBy("doc", "row_key").agg(F.collect_list(span).alias("spans"))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from caminho.llm.op10_suffix_dedup import later_copies, longest_previous_factors, remove_repeats
+from caminho.llm.op10_suffix_dedup import _packed, _unpacked, longest_previous_factors, remove_repeats, window_factors
 
 SCHEMA = "doc_id long, text string, h string"
 
@@ -76,7 +76,16 @@ def test_longest_previous_factors():
             assert size[i] == best
 
 
-def test_later_copies_of_hashes():
-    rows = np.frombuffer(b"abcabdabcabd", np.uint8).reshape(4, 3)
-    assert later_copies(rows).tolist() == [False, False, True, True]
+def test_window_factors():
+    rnd = np.random.Generator(np.random.PCG64(6))
+    rows = rnd.integers(0, 2, (400, 7), np.uint8)
+    found = window_factors(rows)
+    for i in range(len(rows)):
+        assert found[i] == max((int(np.argmin(np.r_[rows[i] == rows[j], False])) for j in range(i)), default=0)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_places_in_the_longest_texts():
+    at, first = np.array([5, 1 << 27, (1 << 31) - 200]), np.array([0, (1 << 27) - 72, (1 << 31) - 210])
+    begin, end = _unpacked(_packed(at, first, first + 72))
+    assert begin.tolist() == first.tolist() and end.tolist() == (first + 72).tolist()
