@@ -59,10 +59,21 @@ def test_all_pairs(spark):
     found = sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in near_duplicates(docs).collect())
     assert found == want
     kept = representatives(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """A document goes for its text only, never for its id; rows without id are deduplicated as well."""
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(50))
+    a, b, c, d = (text() for _ in range(4))
+    docs = spark.createDataFrame([(1, a, "x", ""), (1, b, "y", ""), (2, c, "z", ""), (2, a, "", ""), (None, d, "", ""), (None, d, "", ""), (None, c, "", "")], SCHEMA)
+    for n in (1, 3):
+        kept = representatives(docs.repartition(n)).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (2, c), (0, d)])
+
+
 def test_large_buckets_lose_no_link(spark):
     """Thousands of fingerprints around one: all connected, by far fewer links than pairs."""
     rnd = random.Random(1)
