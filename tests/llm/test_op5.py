@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from caminho.llm.op5_mixing import mix, mixed, rates, targets
+from caminho.llm.op5_mixing import mix, mixed, multipliers, targets
 
 SCHEMA = "doc_id long, text string, source string, copies string, rate string"
 
@@ -45,27 +45,39 @@ def corpus():
 def test_sources_meet_their_targets(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
-    sizes, decided = mix(docs)
-    assert sizes.count() == len(rows) == decided.agg(F.sum("rows")).first()[0]
-    for r in decided.groupBy("source", "target").agg(F.sum(F.expr("size * rows * copies")).alias("taken"), F.max("copies").alias("most")).collect():
+    decided = mix(docs)
+    assert decided.agg(F.sum("rows")).first()[0] == len(rows)
+    for r in decided.groupBy("source", "target").agg(F.sum(F.expr("size * (rows * floor + more)")).alias("taken"), F.max(F.expr("floor + int(more > 0)")).alias("most")).collect():
         assert abs(r.taken - r.target) <= 61 and r.most <= 3
-    again = mix(docs.repartition(3))[1]
+    again = mix(docs.repartition(3))
     assert sorted(map(str, again.collect())) == sorted(map(str, decided.collect()))
 
 
+def test_units_of_many_rows_are_taken_in_part(spark):
+    """Rows without ids, of one size: the target is met all the same."""
+    docs = spark.createDataFrame([(None, "w " * 10, "a", "", "")] * 400 + [(None, "w " * 10, "b", "", "")] * 300, SCHEMA)
+    for r in mix(docs).groupBy("source", "target").agg(F.sum(F.expr("size * (rows * floor + more)")).alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 5
+    assert {r.source: 10 * r["count"] for r in mixed(docs).groupBy("source").count().collect()} == {"a": 5000, "b": 2000}
+
+
+def test_rates_solve_the_dual(spark):
+    """Rates are tilted by size, and meet the targets before they are rounded."""
+    rnd = random.Random(6)
+    sizes = {s: [rnd.randint(0, 500) for _ in range(200)] for s in "abc"} | {"d": [3], "e": [0, 0]}
+    cells = spark.createDataFrame([(s, x, sizes[s].count(x)) for s in sizes for x in set(sizes[s])], "source string, size long, n long")
+    goal = {"a": 1.7, "b": 0.01, "c": 2.999, "d": 3.0, "e": 0.0}
+    wanted = spark.createDataFrame([(s, goal[s] * sum(sizes[s])) for s in sizes], "source string, target double")
+    found = {r.source: r for r in multipliers(cells, wanted).collect()}
+    for s in "abc":
+        rate = lambda x: min(3.0, math.exp(found[s].multiplier * x / found[s].scale))
+        assert math.isclose(sum(x * rate(x) for x in sizes[s]), goal[s] * sum(sizes[s]), rel_tol=1e-6)
+    assert found["d"].multiplier is None and len(found) == 5
+
+
 def test_rows_are_repeated(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     out = mixed(docs)
     assert out.columns == docs.columns
-    decided = mix(docs)[1]
-    assert out.count() == decided.agg(F.sum(F.expr("rows * copies"))).first()[0]
+    assert out.count() == mix(docs).agg(F.sum(F.expr("rows * floor + more"))).first()[0]
     assert mixed(docs.limit(0)).count() == 0
-
-
-def test_two_families_meet(spark):
-    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 50), ("b", "y", 500)], "source string, lang string, tokens long")
-    want = {"source": [("a", 300.0), ("b", 300.0)], "lang": [("x", 200.0), ("y", 400.0)]}
-    found = rates(cells, {k: spark.createDataFrame(v, f"{k} string, target double") for k, v in want.items()})
-    for k, v in want.items():
-        got = {r[0]: r[1] for r in found.groupBy(k).agg(F.sum(F.col("tokens") * F.col("rate"))).collect()}
-        assert all(math.isclose(got[x], t, rel_tol=1e-6) for x, t in v)
