@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from .words_common import STOP_WORDS
 
 #: Characters below which a block is short and from which it is long, stop-word densities, and the link density that condemns a block.
 SHORT, LONG, FEW, MANY, LINKS = 70, 200, 0.15, 0.28, 0.35
+#: Link density that condemns a block within a marked article.
+ALL_LINKS = 0.8
 
 # What elements and class names of web pages mean.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,9 +30,11 @@ _MAIN = frozenset("article main".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSED_BY_BLOCK = frozenset("p".split())
 _BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|disclaimer|alert|menus?|nav|navbar|navigation|"
+    r"(?:(?:site|page|main|top|bottom|global|primary|secondary|left|right|post|entry|user|reader|cookie|social|share|related|google|ad|article)[_-])*"
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|disclaimer|alert|menus?|nav|navbar|navigation|"
     r"sidebar|side|footer|header|masthead|comments?|commentlist|disqus|replies|respond|breadcrumbs?|share|sharing|social|related|recommended|newsletter|subscribe|subscription|"
-    r"signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|skip|hidden)(?:$|[\s_-])",
+    r"signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|skip|hidden)"
+    r"(?:[_-](?:list|area|section|box|bar|wrapper|wrap|container|inner|links?|block|banner|notice|form|posts?|articles?|items?|menu|nav|widgets?|primary|secondary|left|right|top|bottom|[0-9]+))*",
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -62,7 +67,7 @@ def _excluded(name: str, attrs: str) -> bool:
         return name not in ("html", "body")
     if name in ("html", "body", "article", "main"):
         return False
-    return of.get("role", "").lower() in _ROLES or any(_BOILERPLATE.search(of.get(k, "")) for k in ("class", "id"))
+    return of.get("role", "").lower() in _ROLES or any(_BOILERPLATE.fullmatch(x) for k in ("class", "id") for x in of.get(k, "").split())
 
 
 def blocks(page: str) -> list[Block]:
@@ -73,7 +78,8 @@ def blocks(page: str) -> list[Block]:
     """
     found: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether they are ruled out
-    out = anchors = mains = 0
+    names: Counter[str] = Counter()  # how many of each are open
+    out = anchors = mains = headings = headers = 0
     pieces: list[str] = []
     linked = 0
 
@@ -81,23 +87,35 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            found.append(Block(text, linked, mains > 0, any(n in _HEADING for n, _ in stack)))
+            found.append(Block(text, linked, mains > 0, headings > 0))
         pieces.clear()
         linked = 0
 
+    def push(name: str, excluded: bool, sign: int = 1) -> None:
+        nonlocal out, mains, headings, headers
+        out += sign * excluded
+        mains += sign * (name in _MAIN)
+        headings += sign * (name in _HEADING)
+        headers += sign * (excluded and name == "header")
+        names[name] += sign
+        if sign > 0:
+            stack.append((name, excluded))
+
     def pop_to(k: int) -> None:
-        nonlocal out, mains
         for name, excluded in stack[k:]:
-            out -= excluded
-            mains -= name in _MAIN
+            push(name, excluded, -1)
         del stack[k:]
 
+    def place(name: str) -> int:
+        """Where the innermost open element of that name is, -1 if there is none."""
+        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1) if names[name] else -1
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
-            in_heading = mains and any(x in _HEADING for x, _ in stack) and out == sum(e for x, e in stack if x == "header")
+            in_heading = mains and headings and out == headers
             if not out or in_heading:
                 text = html.unescape(page[at:stop])
                 pieces.append(text)
@@ -117,13 +135,11 @@ def blocks(page: str) -> list[Block]:
         if name in _PHRASE:
             top_phrase = bool(stack) and stack[-1][0] in _PHRASE
             if closing:
-                if top_phrase and any(x == name for x, _ in stack):
+                if top_phrase and place(name) >= 0:
                     flush() if out else None
-                    pop_to(max(k for k, (x, _) in enumerate(stack) if x == name))
+                    pop_to(place(name))
             elif top_phrase or (not out and _excluded(name, m["attrs"] or "")):
-                excluded = _excluded(name, m["attrs"] or "")
-                stack.append((name, excluded))
-                out += excluded
+                push(name, _excluded(name, m["attrs"] or ""))
             continue
         if name == "br":
             pieces.append(" ")
@@ -140,69 +156,79 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            places = [k for k, (x, _) in enumerate(stack) if x == name]
-            if places:
-                pop_to(places[-1])
+            if place(name) >= 0:
+                pop_to(place(name))
             continue
         while stack and (stack[-1][0] in _CLOSED_BY_BLOCK or stack[-1][0] in _PHRASE or stack[-1][0] == name == "li"):
             pop_to(len(stack) - 1)
-        excluded = _excluded(name, m["attrs"] or "")
-        stack.append((name, excluded))
-        out += excluded
-        mains += name in _MAIN
+        push(name, _excluded(name, m["attrs"] or ""))
         anchors = 0
     flush()
     return found
 
 
-def classify(found: list[Block]) -> list[Block]:
-    """Label every block good or bad.
+def _density(text: str) -> float:
+    """Share of stop words among the words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
 
-    First pass, block by block: link-dense blocks are bad; in a page that marks its article,
-    other blocks in it are good and those outside are bad; elsewhere length and stop-word
-    density decide, and short blocks stay open. Second pass: open blocks take the label on
-    which their nearest decided neighbours agree; where these differ a block that is nearly
-    good, or a heading before a good block, is good.
-    """
-    marked = any(b.main for b in found)
-    for b in found:
-        size = len(b.text)
-        words = b.text.lower().split()
-        density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        links = b.linked / size
-        if marked:
-            b.label = "good" if b.main and (links <= 0.8 or size >= LONG) else "bad"
-        elif links > LINKS:
-            b.label = "bad"
-        elif b.heading:
-            b.label = "open"
-        elif size < SHORT:
-            b.label = "bad" if links > 0 else "open"
-        elif density >= MANY:
-            b.label = "good" if size >= LONG else "near"
-        elif density >= FEW:
-            b.label = "near"
-        else:
-            b.label = "open"
-    decided = [b.label for b in found]
-    good = [k for k, x in enumerate(decided) if x == "good"]
-    if not good and not marked:  # no long block at all: the nearly good ones decide
-        decided = ["good" if x == "near" else x for x in decided]
-    before = after = "bad"
-    left, right = [], [""] * len(found)
-    for x in decided:
+
+def _first_pass(b: Block, known: bool) -> str:
+    """good, bad, near (nearly good) or open, by link density, length and stop-word density of the block alone."""
+    size, links = len(b.text), b.linked / len(b.text)
+    if links > (ALL_LINKS if b.main else LINKS) and (size < LONG or not b.main):
+        return "bad"
+    if b.heading or links > LINKS:
+        return "open"
+    if size < SHORT:
+        return "bad" if links > 0 and not b.main else "open"
+    density = _density(b.text) if known else MANY
+    if density >= MANY:
+        return "good" if size >= LONG else "near"
+    return "near" if density >= FEW else "open"
+
+
+def _second_pass(found: list[Block], labels: list[str], edge: str) -> None:
+    """Decides what the first pass left open by the nearest decided neighbours; beyond the ends lies ``edge``."""
+    if "good" not in labels:  # no long block at all: the nearly good ones decide
+        labels = ["good" if x == "near" else x for x in labels]
+    left, right, before, after = [], [""] * len(found), edge, edge
+    for x in labels:
         left.append(before)
         before = x if x in ("good", "bad") else before
     for k in range(len(found) - 1, -1, -1):
         right[k] = after
-        after = decided[k] if decided[k] in ("good", "bad") else after
-    for k, b in enumerate(found):
-        b.label = decided[k]
-        if b.label not in ("good", "bad"):
-            if left[k] == right[k]:
-                b.label = "good" if left[k] == "good" or b.label == "near" else "bad"
-            else:
-                b.label = "good" if b.label == "near" or (b.heading and right[k] == "good") else "bad"
+        after = labels[k] if labels[k] in ("good", "bad") else after
+    for b, label, x, y in zip(found, labels, left, right):
+        if label in ("good", "bad"):
+            b.label = label
+        elif x == y and label == "open":
+            b.label = x
+        else:
+            b.label = "good" if label == "near" and "good" in (x, y) or (b.heading and y == "good") or (b.main and label == "open") else "bad"
+
+
+def classify(found: list[Block]) -> list[Block]:
+    """Label every block good or bad.
+
+    First pass, block by block: link-dense blocks are bad, long ones with many stop words
+    good, ones with fewer nearly good, and short ones, headings and the rest stay open. Where
+    a page has hardly any of the known stop words (English, French, German, Spanish), its
+    language is another and length alone counts. Second pass: open blocks take the label on
+    which their nearest decided neighbours agree; a nearly good block with a good neighbour,
+    and a heading before a good block, are good, any other is bad.
+
+    In a page that marks its article, blocks outside are bad, and the passes run over those
+    inside: there a block is bad by links only if it is hardly anything else, beyond the ends
+    lies good text, and where neighbours differ an open block stays.
+    """
+    prose = [b for b in found if len(b.text) >= SHORT]
+    known = not prose or any(_density(b.text) >= FEW for b in prose)
+    marked = [b for b in found if b.main]
+    for b in found:
+        b.label = "bad"
+    some = marked or found
+    _second_pass(some, [_first_pass(b, known) for b in some], "good" if marked else "bad")
     return found
 
 
