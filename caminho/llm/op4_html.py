@@ -55,6 +55,9 @@ class Block:
     main: bool = False
     heading: bool = False
     label: str = ""
+    place: int = 0
+    parent: int = 0  # the element around the block's own
+    reach: range = range(0)  # the places of all blocks in the parent
 
 
 def _excluded(name: str, attrs: str) -> bool:
@@ -79,6 +82,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether they are ruled out
     names: Counter[str] = Counter()  # how many of each are open
+    opened, closed, serials = [0], {}, [0]  # blocks found when an element began and ended, and the open ones
     out = anchors = mains = headings = headers = 0
     pieces: list[str] = []
     linked = 0
@@ -87,7 +91,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            found.append(Block(text, linked, mains > 0, headings > 0))
+            found.append(Block(text, linked, mains > 0, headings > 0, place=len(found), parent=serials[-2] if len(serials) > 1 else 0))
         pieces.clear()
         linked = 0
 
@@ -100,11 +104,14 @@ def blocks(page: str) -> list[Block]:
         names[name] += sign
         if sign > 0:
             stack.append((name, excluded))
+            serials.append(len(opened))
+            opened.append(len(found))
 
     def pop_to(k: int) -> None:
         for name, excluded in stack[k:]:
             push(name, excluded, -1)
-        del stack[k:]
+        closed.update((x, len(found)) for x in serials[k + 1 :])
+        del stack[k:], serials[k + 1 :]
 
     def place(name: str) -> int:
         """Where the innermost open element of that name is, -1 if there is none."""
@@ -164,6 +171,8 @@ def blocks(page: str) -> list[Block]:
         push(name, _excluded(name, m["attrs"] or ""))
         anchors = 0
     flush()
+    for b in found:
+        b.reach = range(opened[b.parent], closed.get(b.parent, len(found)))
     return found
 
 
@@ -189,17 +198,23 @@ def _first_pass(b: Block, known: bool) -> str:
 
 
 def _second_pass(found: list[Block], labels: list[str], edge: str) -> None:
-    """Decides what the first pass left open by the nearest decided neighbours; beyond the ends lies ``edge``."""
+    """Decides what the first pass left open by the nearest decided neighbours; with one only, by that if its
+    parent holds the block too, else by ``edge``."""
     if "good" not in labels:  # no long block at all: the nearly good ones decide
         labels = ["good" if x == "near" else x for x in labels]
-    left, right, before, after = [], [""] * len(found), edge, edge
-    for x in labels:
+    left: list[Block | None] = []
+    right: list[Block | None] = [None] * len(found)
+    decided, before, after = {b.place: x for b, x in zip(found, labels) if x in ("good", "bad")}, None, None
+    for b in found:
         left.append(before)
-        before = x if x in ("good", "bad") else before
+        before = b if b.place in decided else before
     for k in range(len(found) - 1, -1, -1):
         right[k] = after
-        after = labels[k] if labels[k] in ("good", "bad") else after
-    for b, label, x, y in zip(found, labels, left, right):
+        after = found[k] if found[k].place in decided else after
+    for b, label, u, v in zip(found, labels, left, right):
+        x, y = (decided[z.place] if z else "" for z in (u, v))
+        if not x or not y:  # the one neighbour counts for the blocks around it, not for another part of the page
+            x = y = x or y if (u or v) and b.place in (u or v).reach else edge
         if label in ("good", "bad"):
             b.label = label
         elif x == y and label == "open":
@@ -219,8 +234,8 @@ def classify(found: list[Block]) -> list[Block]:
     and a heading before a good block, are good, any other is bad.
 
     In a page that marks its article, blocks outside are bad, and the passes run over those
-    inside: there a block is bad by links only if it is hardly anything else, beyond the ends
-    lies good text, and where neighbours differ an open block stays.
+    inside: there a block is bad by links only if it is hardly anything else, and where
+    neighbours differ, or there is none, an open block stays.
     """
     prose = [b for b in found if len(b.text) >= SHORT]
     known = not prose or any(_density(b.text) >= FEW for b in prose)

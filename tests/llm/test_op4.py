@@ -48,3 +48,46 @@ def test_table(spark):
         want = PAGES[4 if r.page_id is None else r.page_id][1]
         assert (r.text, r.n_chars) == (want, len(want))
     assert extract(pages.limit(0)).count() == 0
+
+
+PROSE = "the cat and the dog of the house is in " * 8
+
+
+def test_class_tokens_are_read_whole():
+    for name in ("content no-sidebar", "site-content has-sidebar", "post comments-open"):
+        assert main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == PROSE.strip()
+    for name in ("sidebar", "site-header", "comments-area", "ad-banner", "cookie-notice"):
+        assert main_text(f"<p>{PROSE}</p><div class='{name}'><p>{PROSE}!</p></div>") == PROSE.strip()
+
+
+def test_languages_without_known_stop_words():
+    prose = "кошка собака дом улица город " * 12
+    assert main_text(f"<body><div><a href=x>меню</a></div><p>{prose}</p><p>ночь</p></body>") == f"{prose.strip()}\n\nночь"
+
+
+def test_passes_decide_within_the_article():
+    links = "".join(f"<a href=x>link number {k}</a> " for k in range(6))
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{links}</p><p>{PROSE}end</p></article>"
+    assert main_text(page) == f"Title\n\n{PROSE.strip()}\n\nShort.\n\n{PROSE}end"
+
+
+def test_pages_without_their_article_tags():
+    """Most blocks of the given articles are found by the block rules alone, and hardly any other."""
+    import re
+
+    import duckdb
+
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' where html is not null").fetchall()
+    wanted = found = both = 0
+    for (page,) in pages:
+        a, b = (set(x.split("\n\n")) for x in (main_text(page), main_text(re.sub(r"</?(article|main)\b[^>]*>", "", page))))
+        wanted, found, both = wanted + len(a), found + len(b), both + len(a & b)
+    assert both >= 0.9 * wanted and both >= 0.95 * found
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    assert main_text("<div>" * 60_000 + PROSE) == PROSE.strip()
+    assert time.time() - began < 10
