@@ -40,6 +40,24 @@ def utm_forward(lat: Column, lon: Column) -> tuple[Column, Column]:
     return EAST + SCALE * size * x, NORTH + SCALE * size * y
 
 
+def utm_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) in degrees of projected metres, by the inverse series of the same order."""
+    size, _, _ = _series()
+    n = FLATTENING / (2 - FLATTENING)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi, eta = (y - NORTH) / (SCALE * size), (x - EAST) / (SCALE * size)
+    p, q = xi, eta
+    for j, b in enumerate(beta, 1):
+        p = p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        q = q - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(p) / F.cosh(q))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(q), F.cos(p))) + MERIDIAN
+
+
 def renumber(address: Column, number: Column) -> Column:
     """The address with its first ``, <digits> -`` changed to ``number``; unchanged without one."""
     split = F.regexp_extract(address, "^(.*?), \\d+ -", 1)

@@ -11,6 +11,7 @@ from ..errors import ArgumentError
 from ..fields import AddressFields
 from ..functions import standardize
 from ..functions.geo import point_text
+from ..functions.h3 import h3_cell, resolutions
 from ..operators.fuzzy import with_similar_street
 from ..operators.lattice import prune
 from ..operators.matching import collapsed
@@ -76,20 +77,22 @@ def merge(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     return rows.join(renamed, rows.row_id == F.col("_found_id"), "left").drop("_found_id")
 
 
-def geocode(rows: DataFrame, fields: AddressFields, tables: dict[str, DataFrame], *, full: bool = False, resolve_ties: bool = True, already_standard: bool = False, geometry: bool = False, keep_order: bool = False) -> DataFrame:
+def geocode(rows: DataFrame, fields: AddressFields, tables: dict[str, DataFrame], *, full: bool = False, resolve_ties: bool = True, already_standard: bool = False, geometry: bool = False, keep_order: bool = False, h3_res: int | list[int] | None = None) -> DataFrame:
     """``rows`` with coordinates, precision, expected error and the address found.
 
     ``tables`` are the eight reference tables. Unless ties are resolved a row may come more
     than once; empate then tells. ``already_standard`` takes the fields as they are. Rows are
     numbered and their similar streets found at once, in scratch tables (see
-    sources.store.released); the rest is lazy, and only ``keep_order`` sorts globally.
+    sources.store.released); the rest is lazy, and only ``keep_order`` sorts globally. Each resolution
+    of ``h3_res`` (0 to 15) adds a column h3_NN with the point's hexagonal cell.
     """
     for name, value in {"full": full, "resolve_ties": resolve_ties, "already_standard": already_standard, "geometry": geometry, "keep_order": keep_order}.items():
         if not isinstance(value, bool):
             raise ArgumentError(f"{name} is True or False")
     fields.check(rows.columns)
+    cells = resolutions(h3_res)
     added = SHORT + (FULL if full else [] if resolve_ties else ["empate"])
-    clash = sorted({*added, "row_id", "geometry"} & set(rows.columns))
+    clash = sorted({*added, *cells, "row_id", "geometry"} & set(rows.columns))
     if clash:
         raise ArgumentError(f"columns that the result adds: {', '.join(clash)}")
     rows = numbered(rows)
@@ -106,6 +109,7 @@ def geocode(rows: DataFrame, fields: AddressFields, tables: dict[str, DataFrame]
     if not resolve_ties:
         log.warning("ties are kept; see the column empate")
     out = merge(rows, found, added)
+    out = out.withColumns({name: h3_cell(F.col("lat"), F.col("lon"), r) for name, r in cells.items()})
     if geometry:
         out = out.withColumn("geometry", point_text(F.col("lon"), F.col("lat")))
     return (out.orderBy("row_id") if keep_order else out).drop("row_id")

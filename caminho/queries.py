@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .fields import AddressFields
 from .functions import geo, standardize
-from .functions.geo import haversine_m, renumber, utm_forward
+from .functions.geo import haversine_m, renumber, utm_forward, utm_inverse
+from .functions.h3 import h3_cell
 from .functions.similarity import jaro_similarity
 from .operators import fuzzy, lattice, matching, spatial, ties
 from .plans import cep, geocode, reverse
@@ -529,6 +530,19 @@ def utm_projection(c: _Case) -> DataFrame:
     return c.points.select("pt_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+@query(_with() + "SELECT pt_id, round(lat, 7) AS lat, round(lon, 7) AS lon FROM pts")
+def utm_round_trip(c: _Case) -> DataFrame:
+    """Coordinates projected and led back."""
+    lat, lon = utm_inverse(*utm_forward(F.col("lat"), F.col("lon")))
+    return c.points.select("pt_id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
+
+
+@query(name="h3_cells")
+def h3_cells_query(c: _Case) -> DataFrame:
+    """Hexagonal cells of all register points at two resolutions; the tests hold known ids."""
+    return c.points.select("pt_id", h3_cell(F.col("lat"), F.col("lon"), 7).alias("h3_07"), h3_cell(F.col("lat"), F.col("lon"), 9).alias("h3_09"))
+
+
 @query("SELECT c_custkey, concat(lpad(CAST(c_custkey * 37 % 100000000 AS VARCHAR), 8, '0')[1:5], '-', lpad(CAST(c_custkey * 37 % 100000000 AS VARCHAR), 8, '0')[6:8]) AS cep FROM customer")
 def standardize_cep(c: _Case) -> DataFrame:
     """Postal codes in standard form."""

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caminho.errors import ArgumentError, NothingFoundError, OutsideCoverageError, ReferenceDataError
 from caminho.fields import AddressFields
-from caminho.functions.geo import renumber, utm_forward
+from caminho.functions.geo import renumber, utm_forward, utm_inverse
+from caminho.functions.h3 import h3_cell, h3_cells
+from caminho.functions.register import register_functions, register_tables
 from caminho.functions.similarity import jaro, jaro_many, jaro_similarity, may_reach
 from caminho.functions.standardize import ambiguous_street, cep, number, state, street
 from caminho.operators.fuzzy import with_similar_street
@@ -104,11 +107,11 @@ def test_geocode(spark, tables):
     want = register_points(spark, SF).where("pt_id % 40 = 0")
     rows = want.select("pt_id", "estado", "municipio", "logradouro", F.col("numero").cast("string").alias("n"), "cep", "localidade").orderBy("pt_id")
     fields = AddressFields(estado="estado", municipio="municipio", logradouro="logradouro", numero="n", cep="cep", localidade="localidade")
-    out = geocode(rows, fields, tables, full=True, keep_order=True, geometry=True)
+    out = geocode(rows, fields, tables, full=True, keep_order=True, geometry=True, h3_res=9)
     found = out.collect()
     assert [r.pt_id for r in found] == [r.pt_id for r in rows.collect()]
     assert {r.tipo_resultado for r in found} == {"dn01"} and not any(r.empate for r in found)
-    assert all(r.geometry.startswith("POINT (") for r in found)
+    assert all(r.geometry.startswith("POINT (") and r.h3_09.startswith("89") for r in found)
     only_city = geocode(rows.select("pt_id", "estado", "municipio"), AddressFields(estado="estado", municipio="municipio"), tables)
     assert {r.precisao for r in only_city.collect()} == {"municipio"}
 
@@ -139,6 +142,8 @@ def test_reverse_and_codes(spark, tables):
         reverse_geocode(spark.createDataFrame([(1, 10.0, 50.0)], "id int, lon double, lat double"), t1)
     rows = find_cep(spark, ["00007-000", "99999999"], tables["T3"]).collect()
     assert [r.municipio for r in rows if r.cep == "99999-999"] == [None] and len(rows) > 1
+    cells = find_cep(spark, ["00007-000"], tables["T3"], h3_res=[7, 9], geometry=True).first()
+    assert cells.h3_07.startswith("87") and cells.h3_09.startswith("89") and cells.geometry.startswith("POINT (")
     with pytest.raises(NothingFoundError):
         find_cep(spark, ["99999-999"], tables["T3"])
 
@@ -162,6 +167,35 @@ def test_row_numbers_of_rows_dealt_anew(spark):
     assert ordered == {k: 1000 - k for k in range(1, 1001)}
 
 
+def test_hexagonal_cells(spark):
+    known = [(37.7752702151959, -122.418307270836, 9, "8928308280fffff"), (0.0, 0.0, 5, "85754e67fffffff"), (37.3615593, -122.0553238, 7, "87283472bffffff"), (40.689167, -74.044444, 10, "8a2a1072b59ffff"), (37.3615593, -122.0553238, 0, "8029fffffffffff")]
+    for lat, lon, r, want in known:
+        assert one(spark, h3_cell(F.col("lat"), F.col("lon"), r), lat=lat, lon=lon) == want
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(40_000, 3))
+    lat, lon = np.degrees(np.arctan2(x[:, 2], np.hypot(x[:, 0], x[:, 1]))), np.degrees(np.arctan2(x[:, 1], x[:, 0]))
+    assert [len(set(h3_cells(lat, lon, r))) for r in (0, 1)] == [122, 842]
+    assert h3_cells(np.array([np.nan, 1.0]), np.array([1.0, np.nan]), 3).tolist() == [0, 0]
+    for bad in (16, -1, True, "9"):
+        with pytest.raises(ArgumentError):
+            h3_cell(F.col("lat"), F.col("lon"), bad)
+
+
+def test_projection_and_back(spark):
+    for lat, lon in [(-23.5, -46.6), (5.0, -60.0), (-33.0, -53.0), (-10.0, -35.0)]:
+        back = utm_inverse(*utm_forward(F.col("lat"), F.col("lon")))
+        assert one(spark, back[0], lat=lat, lon=lon) == pytest.approx(lat, abs=1e-8) and one(spark, back[1], lat=lat, lon=lon) == pytest.approx(lon, abs=1e-8)
+
+
+def test_names_in_sql(spark, tables, tmp_path):
+    register_functions(spark)
+    row = spark.sql("SELECT haversine(0, 0, 0, 1) AS d, jaro('MARTHA', 'MARHTA') AS j, h3_cell(37.3615593D, -122.0553238D, 7) AS c").first()
+    assert row.d == pytest.approx(111319.49, abs=0.01) and row.j == pytest.approx(0.9444, abs=1e-4) and row.c == "87283472bffffff"
+    store = ReferenceStore(str(tmp_path))
+    store.write({"T8": tables["T8"]})
+    assert register_tables(spark, store) == ["municipio"] and spark.sql("SELECT count(*) FROM municipio").first()[0] == tables["T8"].count()
+
+
 def test_many_similarities_at_once():
     rnd = random.Random(4)
     word = lambda: bytes(rnd.choice(b"ABC E") for _ in range(rnd.randint(0, 20)))
