@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import renumber
 from ..functions.standardize import ambiguous_street
 from ..plans.stages import STAGES, STATE_KEYS, Stage
+from ..sources.store import stored
 
 #: Columns of a candidate besides row_id.
 CANDIDATE = ["rank", "lat", "lon", "endereco_encontrado", "desvio_metros", "contagem_cnefe", "log_causa_confusao", "logradouro_encontrado", "numero_encontrado", "cep_encontrado", "localidade_encontrada", "municipio_encontrado", "estado_encontrado", "similaridade_logradouro", "cod_setor"]
@@ -23,8 +24,8 @@ def _payload(columns: list[str]) -> list[Column]:
     """What a joined reference row tells; missing keys are null."""
     found = lambda name, kind="string": _t(name) if name in columns else F.lit(None).cast(kind)
     return [
-        _t("lat").alias("lat"),
-        _t("lon").alias("lon"),
+        found("lat", "double").alias("lat"),
+        found("lon", "double").alias("lon"),
         _t("endereco_completo").alias("endereco_encontrado"),
         _t("desvio_metros").alias("desvio_metros"),
         _t("n_casos").alias("contagem_cnefe"),
@@ -104,62 +105,93 @@ def by_stages(rows: DataFrame, tables: dict[str, DataFrame], stages: list[Stage]
     return reduce(DataFrame.unionByName, found)
 
 
-def _phase(x: DataFrame, table: DataFrame, keys: list[str], stages: list[Stage]) -> DataFrame:
-    """All stages that one reference table serves, by one join on the keys they share. The
-    rank is the first stage whose other keys agree. Windows and aggregations are on the join
-    keys and the row, which the join's partitioning already satisfies."""
-    on = [F.col("x._street" if k == "logradouro" else f"x.{k}") == _t(k) for k in keys]
-    joined = x.alias("x").join(table.alias("t"), on)
-    rank = F.lit(None).cast("int")
-    for s in reversed(stages):
-        fuzzy, near = s.matcher.startswith("fuzzy"), s.matcher.endswith("interpolate")
-        ok = F.col("x._fuzzy") == F.lit(fuzzy)
-        for k in s.keys:
-            if k == "logradouro":
-                continue
-            ok = ok & (F.col(f"x.{k}").isNotNull() if near and k == "numero" else F.coalesce(F.col(f"x.{k}") == _t(k), F.lit(False)))
-        if fuzzy:
-            step = int(s.code[-2:])
-            made = F.col("x.level") <= step
-            ok = ok & (made if "numero" in s.keys else (F.col("x.numero").isNotNull() | made))
-        rank = F.when(ok, F.lit(s.rank)).otherwise(rank)
-    grain = ["row_id", *[f"_k{i}" for i in range(len(keys))]]
-    found = joined.select(F.col("x.row_id").alias("row_id"), F.col("x.numero").alias("_numero"), rank.alias("rank"), *[_t(k).alias(f"_k{i}") for i, k in enumerate(keys)], *_payload(table.columns))
-    found = found.where("rank is not null").withColumn("_least", F.min("rank").over(Window.partitionBy(*grain))).where("rank = _least").drop("_least")
-    near = [s.rank for s in stages if s.matcher.endswith("interpolate")]
-    return (_averaged(found, grain, near) if near else found).select("row_id", *CANDIDATE)
-
-
-def _averaged(found: DataFrame, grain: list[str], near: list[int]) -> DataFrame:
-    """As interpolated, for candidates of exact and interpolated ranks in one pass: windows on
-    the grain instead of an aggregation, so exact candidates need no second copy of the join."""
-    is_near = F.col("rank").isin(*near)
-    rows = found.withColumn("endereco_encontrado", F.when(is_near, renumber(F.col("endereco_encontrado"), F.col("_numero"))).otherwise(F.col("endereco_encontrado")))
-    apart = F.abs(F.col("numero_encontrado") - F.col("_numero"))
-    rows = rows.withColumns({"_same": apart == 0, "_w": F.try_divide(F.lit(1.0), apart.cast("double"))})
-    group = Window.partitionBy(*grain, "rank", "endereco_encontrado")
-    exact = F.max(F.col("_same").cast("int")).over(group) == 1
-    mean = lambda c: F.when(exact, F.avg(F.when(F.col("_same"), F.col(c))).over(group)).otherwise(F.try_divide(F.sum(F.col(c) * F.col("_w")).over(group), F.sum("_w").over(group)))
-    rest = [c for c in CANDIDATE if c not in ("rank", "lat", "lon", "endereco_encontrado", "desvio_metros", "numero_encontrado")]
-    new = {"lat": mean("lat"), "lon": mean("lon"), "desvio_metros": F.rint(F.avg("desvio_metros").over(group)).cast("int"), "numero_encontrado": F.col("_numero"), **{c: F.min(c).over(group) for c in rest}}
-    rows = rows.withColumns({f"_n_{c}": v for c, v in new.items()}).withColumn("_place", F.row_number().over(group.orderBy("_w", "lat", "lon")))
-    rows = rows.where(~is_near | (F.col("_place") == 1))
-    return rows.withColumns({c: F.when(is_near, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in new})
+def _street(stage: Stage) -> tuple[str, ...]:
+    """The keys on which a stage joins, besides state and city."""
+    return tuple(k for k in stage.keys if not (k == "numero" and stage.matcher.endswith("interpolate")))
+
+
+def _served(name: str) -> dict[tuple[tuple[str, ...], bool], list[Stage]]:
+    """The stages of a reference table by what they join on and whether they interpolate: those
+    on the street given and those on the similar street share a join."""
+    found: dict[tuple[tuple[str, ...], bool], list[Stage]] = {}
+    for s in STAGES:
+        if s.table == name:
+            found.setdefault((_street(s), s.matcher.endswith("interpolate")), []).append(s)
+    return found
+
+
+def _on(keys: tuple[str, ...]) -> list[Column]:
+    return [F.col("x._street" if k == "logradouro" else f"x.{k}") == _t(k) for k in (*STATE_KEYS, *keys)]
+
+
+def _first_stage(both: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """row_id and the least rank of the stages that find the row's keys; semi-joins on the
+    different keys of each table, so that no candidate of a later stage is made."""
+    found = []
+    for name, table in tables.items():
+        for (keys, near), stages in _served(name).items():
+            rank = F.lit(None).cast("int")
+            for s in reversed(stages):
+                fuzzy = s.matcher.startswith("fuzzy")
+                ok = F.col("_fuzzy") == F.lit(fuzzy)
+                ok = ok & _street_ok(s) if fuzzy else ok
+                ok = ok & F.col("numero").isNotNull() if near else ok
+                rank = F.when(ok, F.lit(s.rank)).otherwise(rank)
+            names = [*STATE_KEYS, *["_street" if k == "logradouro" else k for k in keys]]
+            asked = both.select("row_id", rank.alias("rank"), *names).where(reduce(lambda a, k: a & F.col(k).isNotNull(), names, F.col("rank").isNotNull()))
+            known = table.select(*STATE_KEYS, *keys).distinct()
+            found.append(asked.alias("x").join(known.alias("t"), _on(keys), "left_semi").select("row_id", "rank"))
+    return reduce(DataFrame.union, found).groupBy("row_id").agg(F.min("rank").alias("rank"))
+
+
+def _exact(x: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    found = x.alias("x").join(table.alias("t"), _on(keys))
+    return found.select(F.col("x.row_id").alias("row_id"), F.col("x.rank").alias("rank"), *_payload(table.columns)).select("row_id", *CANDIDATE)
+
+
+def _nearby(x: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """As interpolated, with the reference rows of one key and address gathered before the join:
+    a row then meets each address once, and its mean is taken within that row."""
+    on = [*STATE_KEYS, *keys]
+    known = table.join(x.select(*STATE_KEYS, *["_street" if k == "logradouro" else k for k in keys]).toDF(*on).distinct(), on, "left_semi")
+    rest = [c for c in table.columns if c not in {*on, "numero", "lat", "lon", "endereco_completo", "desvio_metros"}]
+    house = F.struct(F.col("numero").alias("n"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    known = known.withColumn("endereco_completo", renumber(F.col("endereco_completo"), F.lit(0))).groupBy(*on, "endereco_completo").agg(
+        F.collect_list(house).alias("houses"), F.rint(F.avg("desvio_metros")).cast("int").alias("desvio_metros"), *[F.min(c).alias(c) for c in rest]
+    )
+    joined = x.alias("x").join(known.alias("t"), _on(keys))
+    apart = lambda h: F.abs(h["n"] - F.col("x.numero"))
+    # Sums over the houses: with the very number (count, lat, lon), and by inverse distance (weight, lat, lon).
+    sums = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "y", "x", "w", "wy", "wx")])
+
+    def add(s: Column, h: Column) -> Column:
+        same = F.when(apart(h) == 0, 1.0).otherwise(0.0)
+        w = F.when(apart(h) > 0, F.lit(1.0) / apart(h).cast("double")).otherwise(0.0)
+        plus = lambda old, factor, c: (s[old] + (factor if c is None else F.coalesce(factor * h[c], F.lit(0.0)))).alias(old)
+        return F.struct(plus("n", same, None), plus("y", same, "lat"), plus("x", same, "lon"), plus("w", w, None), plus("wy", w, "lat"), plus("wx", w, "lon"))
+
+    found = joined.select(F.col("x.row_id").alias("row_id"), F.col("x.numero").alias("_numero"), F.col("x.rank").alias("rank"), F.aggregate(_t("houses"), sums, add).alias("_s"), *_payload([c for c in table.columns if c not in ("lat", "lon", "numero")]))
+    mean = lambda c: F.when(F.col("_s.n") > 0, F.col(f"_s.{c}") / F.col("_s.n")).otherwise(F.try_divide(F.col(f"_s.w{c}"), F.col("_s.w")))
+    new = {"lat": mean("y"), "lon": mean("x"), "endereco_encontrado": renumber(F.col("endereco_encontrado"), F.col("_numero")), "numero_encontrado": F.col("_numero")}
+    return found.withColumns(new).select("row_id", *CANDIDATE)
 
 
 def collapsed(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """The same candidates from one plan of eight joins and one shuffle by row.
+    """The same candidates as by_stages, without a pass for each stage.
 
-    A row's answer is all candidates of its least rank. Rows that match leave the cascade, so
-    what later stages would find cannot change it.
+    A row's answer is all candidates of its least rank. So the rank is found first, by the keys
+    alone, and stored with the row; then each row meets one table, on all keys of its stage.
     """
     x = prepared(rows)
-    plain = x.withColumns({"_street": F.col("logradouro"), "_fuzzy": F.lit(False), "similaridade": F.lit(None).cast("decimal(5,3)")})
+    plain = x.withColumns({"_street": F.col("logradouro"), "_fuzzy": F.lit(False)})
     alike = x.where("similar is not null").withColumns({"_street": F.col("similar"), "_fuzzy": F.lit(True)})
-    both, found = plain.unionByName(alike), []
-    for name in tables:
-        stages = [s for s in STAGES if s.table == name]
-        shared = [k for k in ("logradouro", "cep", "localidade") if all(k in s.keys for s in stages)]
-        found.append(_phase(both if "logradouro" in shared else plain, tables[name], [*STATE_KEYS, *shared], stages))
-    every = reduce(DataFrame.unionByName, found)
-    return every.withColumn("_least", F.min("rank").over(Window.partitionBy("row_id"))).where("rank = _least").drop("_least")
+    first = _first_stage(plain.unionByName(alike), tables)
+    fuzzy = F.col("rank").isin(*[s.rank for s in STAGES if s.matcher.startswith("fuzzy")])
+    ranked = x.join(first, "row_id").withColumns({"_street": F.when(fuzzy, F.col("similar")).otherwise(F.col("logradouro")), "similaridade": F.when(fuzzy, F.col("similaridade"))})
+    ranked = stored(ranked.select("row_id", "rank", *STATE_KEYS, "_street", "numero", "cep", "localidade", "log_causa_confusao", "similaridade"))
+    found = []
+    for name, table in tables.items():
+        for (keys, near), stages in _served(name).items():
+            own = ranked.where(F.col("rank").isin(*[s.rank for s in stages]))
+            found.append((_nearby if near else _exact)(own, table, keys))
+    return reduce(DataFrame.unionByName, found)
