@@ -126,9 +126,11 @@ def _on(keys: tuple[str, ...]) -> list[Column]:
 
 def _first_stage(both: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """row_id and the least rank of the stages that find the row's keys; semi-joins on the
-    different keys of each table, so that no candidate of a later stage is made."""
+    different keys of each table, so that no candidate of a later stage is made. The ranks of a
+    table are stored before the next is read."""
     found = []
     for name, table in tables.items():
+        parts = []
         for (keys, near), stages in _served(name).items():
             rank = F.lit(None).cast("int")
             for s in reversed(stages):
@@ -140,7 +142,8 @@ def _first_stage(both: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             names = [*STATE_KEYS, *["_street" if k == "logradouro" else k for k in keys]]
             asked = both.select("row_id", rank.alias("rank"), *names).where(reduce(lambda a, k: a & F.col(k).isNotNull(), names, F.col("rank").isNotNull()))
             known = table.select(*STATE_KEYS, *keys).distinct()
-            found.append(asked.alias("x").join(known.alias("t"), _on(keys), "left_semi").select("row_id", "rank"))
+            parts.append(asked.alias("x").join(known.alias("t"), _on(keys), "left_semi").select("row_id", "rank"))
+        found.append(stored(reduce(DataFrame.union, parts).groupBy("row_id").agg(F.min("rank").alias("rank"))))
     return reduce(DataFrame.union, found).groupBy("row_id").agg(F.min("rank").alias("rank"))
 
 
@@ -181,6 +184,7 @@ def collapsed(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
     A row's answer is all candidates of its least rank. So the rank is found first, by the keys
     alone, and stored with the row; then each row meets one table, on all keys of its stage.
+    What a table tells is stored before the next is read: the disk holds the shuffles of one.
     """
     x = prepared(rows)
     plain = x.withColumns({"_street": F.col("logradouro"), "_fuzzy": F.lit(False)})
@@ -191,7 +195,9 @@ def collapsed(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     ranked = stored(ranked.select("row_id", "rank", *STATE_KEYS, "_street", "numero", "cep", "localidade", "log_causa_confusao", "similaridade"))
     found = []
     for name, table in tables.items():
+        parts = []
         for (keys, near), stages in _served(name).items():
             own = ranked.where(F.col("rank").isin(*[s.rank for s in stages]))
-            found.append((_nearby if near else _exact)(own, table, keys))
+            parts.append((_nearby if near else _exact)(own, table, keys))
+        found.append(stored(reduce(DataFrame.unionByName, parts)))
     return reduce(DataFrame.unionByName, found)
